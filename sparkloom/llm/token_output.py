@@ -51,7 +51,7 @@ class ShardWriter:
 
         system, name = file_of(path)
         system.create_dir(name.rpartition("/")[0], recursive=True)
-        self.path, self.shard, self.out = path, shard, system.open_output_stream(name)
+        self.path, self.shard, self.out = path, shard, system.open_output_stream(name, compression=None)
         self.zstd, self.entries, self.place = zstandard.ZstdCompressor(level=level), [], 0
 
     def frame(self, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> dict:
