@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, secret_scan, token_output
+from . import language_id, media, packing, secret_scan, token_output
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op8_token_output": op8_token_output,
     "op10_secret_scan": op10_secret_scan,
