@@ -30,7 +30,7 @@ CENTROIDS, ROUNDS = 4, 8
 #: of its own: class k holds texts of 2**k letters and spaces and more. A class with fewer sampled texts than ENOUGH
 #: takes the radius of the next longer class that has them, and rejects nothing if there is none.
 #: Texts below class SHORT say too little to be rejected.
-QUANTILE, FACTOR, ENOUGH, CLASSES, SHORT = 0.995, 1.25, 30, 24, 6
+QUANTILE, FACTOR, ENOUGH, CLASSES, SHORT = 0.995, 1.4, 30, 24, 6
 WORDLESS = re.compile(r"[\W\d_]+")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
