@@ -28,7 +28,7 @@ CENTROIDS, ROUNDS = 4, 8
 #: A text is rejected if its distance (1 - cosine) exceeds FACTOR times the distance that QUANTILE of the sampled
 #: texts of its language and length class keep. Short texts are far from every centroid, so each class has a radius
 #: of its own: class k holds texts of 2**k letters and spaces and more. A class with fewer sampled texts than ENOUGH
-#: takes the radius of the next longer class that has them, and rejects nothing if there is none.
+#: takes the wider radius of the next shorter class that has them, and rejects nothing if there is none.
 #: Texts below class SHORT say too little to be rejected.
 QUANTILE, FACTOR, ENOUGH, CLASSES, SHORT = 0.995, 1.4, 30, 24, 6
 WORDLESS = re.compile(r"[\W\d_]+")
@@ -78,9 +78,9 @@ def clustered(x: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     far = 1 - (x @ centres.T).max(1)
     radius = np.full(CLASSES, np.inf)
-    for k in reversed(range(CLASSES)):
+    for k in range(CLASSES):
         own = far[classes == k]
-        radius[k] = FACTOR * np.quantile(own, QUANTILE) if len(own) >= ENOUGH else radius[min(k + 1, CLASSES - 1)]
+        radius[k] = FACTOR * np.quantile(own, QUANTILE) if len(own) >= ENOUGH else radius[max(k - 1, 0)]
     return centres, np.where(np.arange(CLASSES) < SHORT, np.inf, radius)
 
 
