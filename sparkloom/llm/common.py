@@ -6,6 +6,7 @@ intermediate that is read twice is a Parquet table written there by Spark's own
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    gc.collect()  # the exchanges just read are no longer needed: let Spark's cleaner find out and free their disk
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
