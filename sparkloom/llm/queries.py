@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, mixing, packing, secret_scan, substring_dedup, token_output
+from . import language_id, lm_scoring, media, mixing, packing, secret_scan, substring_dedup, token_output
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op8_token_output": op8_token_output,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_secret_scan": op10_secret_scan,
 }
 
