@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, media, mixing, near_dedup, packing, secret_scan, substring_dedup, token_output
+from . import language_id, lm_scoring, media, mixing, near_dedup, packing, permutation_index, secret_scan, substring_dedup, token_output
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_permutation_index": op6_permutation_index,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
