@@ -1,0 +1,4 @@
+"""Query plans over the driver's tables; importing the modules registers them."""
+
+from . import retrieval_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
