@@ -41,7 +41,8 @@ def chain(edges: DataFrame, start: list, depth: int = 100) -> DataFrame:
     """Keys reached from ``start`` along (source, target), with the fewest steps. Cycles end, as do chains at ``depth``."""
     spark = edges.sparkSession
     edges.createOrReplaceTempView("_chain_edges")
-    first = ", ".join(f"({x})" for x in start)
+    kind = edges.schema["source"].dataType.simpleString()
+    first = ", ".join(f"(cast({x} AS {kind}))" for x in start)
     return spark.sql(f"WITH RECURSIVE r(node, step) AS (SELECT col1, 0 FROM VALUES {first} UNION ALL SELECT e.target, r.step + 1 FROM r JOIN _chain_edges e ON e.source = r.node WHERE r.step < {int(depth)}) SELECT node, min(step) AS step FROM r GROUP BY node")
 
 

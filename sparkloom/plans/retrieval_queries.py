@@ -15,7 +15,11 @@ from ..operators import fulltext, ranking
 from .registry import Tables, query
 
 QUERY_WORDS = ("the", "tion", "and")
-ORDER = ranking.best_first("score", "doc_id")
+
+
+def order():
+    return ranking.best_first("score", "doc_id")
+
 
 
 # A pool of scored chunks of known form: what rerankers and routers hand on.
@@ -28,7 +32,7 @@ HEAD = f"(SELECT * FROM {POOL} ORDER BY score DESC, doc_id LIMIT 200)"
 
 
 def head(t: Tables, k: int = 200) -> DataFrame:
-    return pool(t).orderBy(*ORDER).limit(k)
+    return pool(t).orderBy(*order()).limit(k)
 
 
 def query_vector(t: Tables) -> DataFrame:
@@ -78,8 +82,8 @@ query(f"SELECT source, max(round(score, 6)) AS score FROM ({BM25}) JOIN document
 query("SELECT count(*) FILTER (len(regexp_extract_all(lower(text), '[a-z0-9]+')) = 0) AS without_terms, 0::BIGINT AS unknown FROM documents", "fts_integrity")(lambda t: integrity(t))
 
 
-def bm25(t: Tables, text=F.col("text"), k: int = 50) -> DataFrame:
-    found = fulltext.search(t.documents.select("doc_id", text.alias("text")), "doc_id", "text", QUERY_WORDS).withColumn("s", F.round("score", 9))
+def bm25(t: Tables, text=None, k: int = 50) -> DataFrame:
+    found = fulltext.search(t.documents.select("doc_id", (F.col("text") if text is None else text).alias("text")), "doc_id", "text", QUERY_WORDS).withColumn("s", F.round("score", 9))
     return ranking.top(found, [F.desc("s"), F.asc("doc_id")], k).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -99,7 +103,7 @@ FUSED = f"""(SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_i
 
 def fused(t: Tables, limit: int = 40) -> DataFrame:
     both = ranking.rrf([(knn(t).select(F.col("vec_id").alias("doc_id"), "rank"), 0.5), (bm25(t).select("doc_id", "rank"), 0.5)], "doc_id", 60, limit)
-    return ranking.ranked(both.withColumn("score", F.round("score", 9)), ORDER).select("doc_id", "score", "rank")
+    return ranking.ranked(both.withColumn("score", F.round("score", 9)), order()).select("doc_id", "score", "rank")
 
 
 query(f"SELECT doc_id, round(score, 6) AS score, rank FROM {FUSED}", "topk_rrf_merge")(lambda t: fused(t).select("doc_id", F.round("score", 6).alias("score"), "rank"))
@@ -110,7 +114,7 @@ HYBRID = f"SELECT doc_id, source, score, rank FROM (SELECT doc_id, source, round
 def hybrid_top10(t: Tables) -> DataFrame:
     """The flagship: vector and lexical candidates, fused, at most two of a source first, ten in all."""
     pool_ = fused(t).drop("rank").join(t.documents.select("doc_id", "source"), "doc_id")
-    return ranking.diversified(pool_, ["source"], 2, ORDER).where("rank <= 10").select("doc_id", "source", F.round("score", 6).alias("score"), "rank")
+    return ranking.diversified(pool_, ["source"], 2, order()).where("rank <= 10").select("doc_id", "source", F.round("score", 6).alias("score"), "rank")
 
 
 query(HYBRID, "ext_retrieval_strategy")(hybrid_top10)
@@ -119,12 +123,12 @@ R = [RANKS.format(p=POOL, w=w) for w in ("doc_id % 2 = 0", "doc_id % 3 = 0", "do
 
 
 def lists(t: Tables) -> list[DataFrame]:
-    return [ranking.top(pool(t).where(w), ORDER, 100).select("doc_id", "rank") for w in ("doc_id % 2 = 0", "doc_id % 3 = 0", "doc_id % 5 < 2")]
+    return [ranking.top(pool(t).where(w), order(), 100).select("doc_id", "rank") for w in ("doc_id % 2 = 0", "doc_id % 3 = 0", "doc_id % 5 < 2")]
 
 
 def multi(weights: tuple[float, ...], k: int, n: int) -> tuple[str, object]:
     sql = "SELECT doc_id, round(s / max(s) OVER (), 6) AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM (SELECT doc_id, round(sum(s), 12) AS s FROM (" + " UNION ALL ".join(f"SELECT doc_id, {w} * {k + 1} / ({k} + rank) AS s FROM {r}" for w, r in zip(weights, R)) + f") GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT {n})"
-    return sql, lambda t: ranking.ranked(ranking.rrf(list(zip(lists(t), weights)), "doc_id", k, n).withColumn("score", F.round("score", 12)), ORDER).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return sql, lambda t: ranking.ranked(ranking.rrf(list(zip(lists(t), weights)), "doc_id", k, n).withColumn("score", F.round("score", 12)), order()).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 for name, args in {"topk_rrf_multi": ((1.0, 1.0, 1.0), 60, 30), "topk_rrf_file_lists": ((0.6, 0.4), 60, 20), "topk_multi_query_scope": ((1.0, 0.8, 0.6), 60, 16), "win_rank_to_rrf": ((1.0,), 60, 100), "topk_rrf_adaptive_k": ((0.5, 0.5), ranking.adaptive_k(30), 30)}.items():
@@ -136,12 +140,12 @@ query(f"""SELECT doc_id, row_number() OVER (ORDER BY least(side, 1), CASE WHEN s
  (SELECT doc_id, l, r, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN 0 WHEN r IS NULL THEN 1 ELSE 2 END AS side FROM (SELECT doc_id, min(l) AS l, min(r) AS r FROM (SELECT doc_id, rank AS l, NULL AS r FROM {R[0]} UNION ALL SELECT doc_id, NULL, rank FROM {R[1]}) GROUP BY doc_id)))""", "topk_router_funnel_zigzag")(lambda t: ranking.zigzag(*lists(t)[:2], "doc_id"))
 
 # Selection from a pool.
-query(f"SELECT doc_id, meeting, score, row_number() OVER (ORDER BY late, score DESC, doc_id) AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY meeting, file ORDER BY score DESC, doc_id) > 1)::INT AS late FROM {HEAD})", "win_diversity_cap")(lambda t: ranking.diversified(head(t), ["meeting", "file"], 1, ORDER).select("doc_id", "meeting", "score", "rank"))
+query(f"SELECT doc_id, meeting, score, row_number() OVER (ORDER BY late, score DESC, doc_id) AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY meeting, file ORDER BY score DESC, doc_id) > 1)::INT AS late FROM {HEAD})", "win_diversity_cap")(lambda t: ranking.diversified(head(t), ["meeting", "file"], 1, order()).select("doc_id", "meeting", "score", "rank"))
 SURE = "SELECT doc_id, file, score, rank FROM (SELECT *, sum((late = 0)::INT) OVER () AS sure FROM (SELECT *, row_number() OVER (ORDER BY late, score DESC, doc_id) AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY file ORDER BY score DESC, doc_id) > {n})::INT AS late FROM {p}))) WHERE rank <= {k}"
-query(SURE.format(n=3, p=HEAD, k="greatest(sure, 16)"), "win_per_file_guarantee")(lambda t: ranking.guaranteed(head(t), ["file"], 3, 16, ORDER).select("doc_id", "file", "score", "rank"))
+query(SURE.format(n=3, p=HEAD, k="greatest(sure, 16)"), "win_per_file_guarantee")(lambda t: ranking.guaranteed(head(t), ["file"], 3, 16, order()).select("doc_id", "file", "score", "rank"))
 query(SURE.format(n=1, p=f"(SELECT * FROM {HEAD} QUALIFY score >= 0.35 * max(score) OVER ())", k="least(greatest(sure, 12), 12)"), "win_coverage_select")(lambda t: ranking.coverage(head(t), "file", "score", "doc_id", 12).select("doc_id", "file", "score", "rank"))
-query(f"SELECT doc_id, file, score, row_number() OVER (PARTITION BY file ORDER BY score DESC, doc_id) AS rank FROM {POOL} QUALIFY rank <= greatest(2 * 3, 3 + 2)", "win_fair_topn_per_file")(lambda t: ranking.top_per(pool(t), ["file"], ORDER, 6).select("doc_id", "file", "score", "rank"))
-query(f"SELECT doc_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () AS a FROM {HEAD}) WHERE n <= greatest(round(a * 0.75), 1) OR file = 5", "win_percentile_keep")(lambda t: ranking.evidence(head(t), "percentile", 0.25, ORDER, protected=F.col("file") == 5).select("doc_id", "score"))
+query(f"SELECT doc_id, file, score, row_number() OVER (PARTITION BY file ORDER BY score DESC, doc_id) AS rank FROM {POOL} QUALIFY rank <= greatest(2 * 3, 3 + 2)", "win_fair_topn_per_file")(lambda t: ranking.top_per(pool(t), ["file"], order(), 6).select("doc_id", "file", "score", "rank"))
+query(f"SELECT doc_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () AS a FROM {HEAD}) WHERE n <= greatest(round(a * 0.75), 1) OR file = 5", "win_percentile_keep")(lambda t: ranking.evidence(head(t), "percentile", 0.25, order(), protected=F.col("file") == 5).select("doc_id", "score"))
 query(f"SELECT meeting, round(avg(score), 6) AS score FROM (SELECT * FROM {POOL} QUALIFY row_number() OVER (PARTITION BY meeting ORDER BY score DESC) <= 3) GROUP BY meeting ORDER BY avg(score) DESC, meeting LIMIT 8", "agg_by_meeting")(lambda t: ranking.group_scores(pool(t), "meeting", "score").orderBy(F.desc("score"), "meeting").limit(8).select("meeting", F.round("score", 6).alias("score")))
 BY_FILE = f"(SELECT file, quality, n, 0.85 * quality + 0.15 * ln(1 + n) / ln(9) AS score FROM (SELECT file, avg(score) FILTER (r <= 3) AS quality, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC) AS r FROM {POOL}) GROUP BY file))"
 by_file = lambda t: ranking.group_scores(pool(t), "file", "score", blend=0.85)
@@ -186,7 +190,7 @@ query(f"SELECT DISTINCT source FROM documents WHERE doc_id IN (SELECT vec_id FRO
 query(f"SELECT file, max(doc_id) AS newest, 0.1::DOUBLE AS score FROM (SELECT * FROM {POOL} ORDER BY doc_id DESC LIMIT 50) GROUP BY file", "topk_latest_chunks")(lambda t: pool(t).orderBy(F.desc("doc_id")).limit(50).groupBy("file").agg(F.max("doc_id").alias("newest"), F.lit(0.1).alias("score")))
 query(f"SELECT meeting, doc_id, score FROM {POOL} WHERE meeting IN ('src1', 'src2') AND file IN (1, 2, 3)", "filter_restrict_pool")(lambda t: pool(t).where(F.col("meeting").isin("src1", "src2") & F.col("file").isin(1, 2, 3)).select("meeting", "doc_id", "score"))
 query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') AND lang IN ('en', 'fr') AND n_chars BETWEEN 500 AND 5000", "filter_metadata_where")(lambda t: t.documents.where(F.col("source").isin("src1", "src2") & F.col("lang").isin("en", "fr") & F.col("n_chars").between(500, 5000)).select("doc_id", "source"))
-query(f"SELECT string_agg(file, ',' ORDER BY first) AS files FROM (SELECT file, min(r) AS first FROM (SELECT file, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM {HEAD}) WHERE r <= 20 GROUP BY file)", "project_anchor_ids")(lambda t: ranking.top(head(t), ORDER, 20).groupBy("file").agg(F.min("rank").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "file"))), lambda x: x["file"].cast("string")), ",").alias("files")))
+query(f"SELECT string_agg(file, ',' ORDER BY first) AS files FROM (SELECT file, min(r) AS first FROM (SELECT file, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM {HEAD}) WHERE r <= 20 GROUP BY file)", "project_anchor_ids")(lambda t: ranking.top(head(t), order(), 20).groupBy("file").agg(F.min("rank").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "file"))), lambda x: x["file"].cast("string")), ",").alias("files")))
 for name, k in {"set_dedup_best_score": 0, "set_merge_vector_hops": 1, "set_scoped_multi_query": 2}.items():
     query(f"SELECT text_key, max(score) AS score FROM (SELECT substr(sha256(text), 1, 16) AS text_key, (doc_id * {k * 2 + 3} % 101)::DOUBLE AS score FROM documents) GROUP BY text_key", name)(
         lambda t, k=k: t.documents.select(F.substring(F.sha2("text", 256), 1, 16).alias("text_key"), (F.col("doc_id") * (k * 2 + 3) % 101).cast("double").alias("score")).groupBy("text_key").agg(F.max("score").alias("score"))
