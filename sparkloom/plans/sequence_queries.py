@@ -15,7 +15,7 @@ from ..operators import graph, ranking
 from ..sources import files
 from . import strategies
 from .registry import Tables, query
-from .retrieval_queries import by_file, head, lists, pool
+from .retrieval_queries import HEAD, POOL, R, by_file, head, lists, pool
 
 
 def mapped(df: DataFrame, schema: str, f: Callable) -> DataFrame:
@@ -94,15 +94,30 @@ def chosen(t: Tables, f: Callable, schema: str) -> DataFrame:
 
 query(None, "topk_mmr")(lambda t: chosen(t, lambda r: r.iloc[Q.mmr(r["text"].tolist(), r["score"].tolist(), 5)][["meeting", "doc_id"]].assign(place=range(min(5, len(r)))), "meeting string, doc_id long, place long"))
 query(None, "topk_chunk_budget")(lambda t: chosen(t, lambda r: r[["meeting", "doc_id"]].assign(chunks=Q.apportioned(r["score"].tolist(), 3 * len(r), 1, 8)), "meeting string, doc_id long, chunks long"))
-query(None, "topk_rerank")(lambda t: strategies.reranked(head(t).join(texts(t), "doc_id").select("doc_id", "text"), "the of and that", "doc_id", "text", 16).select("doc_id", "score", "rank"))
-query(None, "topk_rerank_step")(lambda t: strategies.reranked(head(t, 48).join(texts(t), "doc_id").select("doc_id", "text"), "the of and that", "doc_id", "text", max(16, 48 // 3)).select("doc_id", "score", "rank"))
-query(None, "ext_reranker")(lambda t: strategies.reranked(head(t, 30).join(texts(t), "doc_id").select("doc_id", "text"), "from with", "doc_id", "text", 8, 0.1).select("doc_id", "score", "rank"))
+
+
+def rerank_sql(words: list[str], n: int, k: int, least: float = 0.05) -> str:
+    best = f"(SELECT doc_id FROM {POOL} ORDER BY score DESC, doc_id LIMIT {n})"
+    score = f"round(len(list_intersect(list_distinct(string_split_regex(lower(text), '\\s+')), {words})) / {len(words)}, 6)"
+    return f"SELECT doc_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, max(score) OVER () AS best FROM (SELECT doc_id, {score} AS score FROM documents WHERE doc_id IN {best})) WHERE rank <= {k} AND (score >= {least} OR best < {least})"
+
+
+query(rerank_sql(["the", "of", "and", "that"], 200, 16), "topk_rerank")(lambda t: strategies.reranked(head(t).join(texts(t), "doc_id").select("doc_id", "text"), "the of and that", "doc_id", "text", 16).select("doc_id", "score", "rank"))
+query(rerank_sql(["the", "of", "and", "that"], 48, 16), "topk_rerank_step")(lambda t: strategies.reranked(head(t, 48).join(texts(t), "doc_id").select("doc_id", "text"), "the of and that", "doc_id", "text", max(16, 48 // 3)).select("doc_id", "score", "rank"))
+query(rerank_sql(["from", "with"], 30, 8, 0.1), "ext_reranker")(lambda t: strategies.reranked(head(t, 30).join(texts(t), "doc_id").select("doc_id", "text"), "from with", "doc_id", "text", 8, 0.1).select("doc_id", "score", "rank"))
 query(None, "ext_embeddings")(lambda t: texts(t).select("doc_id", F.transform(strategies.embedded(F.col("text")), lambda x: F.round(x, 6)).alias("embedding")))
 query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) = lower(trim(text)) THEN 'caption' WHEN regexp_matches(text, '[0-9]') OR length(text) > 2 * length(role) THEN 'both' ELSE 'model' END AS keep FROM conversations", "ext_vision_dedupe")(lambda t: t.conversations.select("conv_id", "turn", strategies.caption_and_ocr(F.col("role"), F.col("text")).alias("keep")))
 query("SELECT 'fast' AS name, 8 AS top_k, 3 AS fetch UNION ALL SELECT 'balanced', 8, 6 UNION ALL SELECT 'thorough', 12, 8", "ext_profiles")(lambda t: t.spark.createDataFrame([(n, p.top_k, p.fetch) for n, p in strategies.PROFILES.items()], "name string, top_k int, fetch int"))
 
 
-@query()
+FILES = "(SELECT doc_id % 97 AS file, min(rank) AS rank FROM {} GROUP BY 1)"
+BOTH = f"(SELECT file, round(sum(1.0 / (60 + rank)), 12) AS s, min(own) AS own FROM (SELECT file, rank, rank AS own FROM {FILES.format(R[0])} UNION ALL SELECT file, rank, NULL FROM {FILES.format(R[1])}) GROUP BY file)"
+
+
+@query(f"""SELECT 'router_only' AS strategy, file, rank FROM {FILES.format(R[0])} WHERE rank <= 8
+ UNION ALL SELECT 'funnel_only', file, rank FROM {FILES.format(R[1])} WHERE rank <= 8
+ UNION ALL SELECT 'router_pre_filter', file, row_number() OVER (ORDER BY rank, file) AS r FROM {FILES.format(R[1])} WHERE file IN (SELECT file FROM {FILES.format(R[0])}) QUALIFY r <= 8
+ UNION ALL SELECT 'router_and_funnel', file, row_number() OVER (ORDER BY s DESC, coalesce(own, 1073741824), file) AS r FROM {BOTH} QUALIFY r <= 8""")
 def ext_scoping_strategy(t: Tables) -> DataFrame:
     """The files that each scoping strategy selects."""
     router, funnel = (x.select((F.col("doc_id") % 97).alias("file"), "rank").groupBy("file").agg(F.min("rank").alias("rank")) for x in lists(t)[:2])
@@ -130,7 +145,7 @@ def join_pairwise_similarity(t: Tables) -> DataFrame:
     return own.join(other, "label").where("vec_id < v").where(N.dot(F.col("embedding"), F.col("e")) / (F.col("n") * F.col("m")) >= 0.3).select(F.col("vec_id").alias("u"), "v")
 
 
-@query(None)
+@query("SELECT doc_id, 2 AS hits FROM documents WHERE doc_id % 10 = 0")
 def fts_trigram_cjk(t: Tables) -> DataFrame:
     """Documents by how many of a query's CJK 3-grams they hold; the fixture has no CJK, so a phrase is put in."""
     wanted = ["東京会", "京会議"]
