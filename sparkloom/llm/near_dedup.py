@@ -9,8 +9,9 @@ within a factor of 1.2: with a full logarithm, the shingles that thousands of ne
 against each copy's own edits, and large groups would fall apart.
 
 Equal texts are one candidate. Within a band the most central text, the one whose bands are the fullest, is compared
-with all others, which is linear in the band. Texts that this leaves apart are then compared with all texts of
-other components in their bands that agree with enough of their samples, so no link is lost to the shortcut.
+with all others, which is linear in the band. A band whose texts that leaves in several components is then dealt in
+blocks; each pair of blocks is one bounded group, in which texts of other components that agree in enough samples are
+compared and only links that join components come out. So no link is lost to the shortcut, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Rows and cells of the count-min sketch, and how far the rarest shingle outweighs the most frequent.
 SKETCH_ROWS, SKETCH_CELLS, DAMPING = 2, 1 << 18, 0.2
-#: Texts of other components must agree on this share of samples before their texts are compared; at similarity 0.8
-#: fewer agree with a probability below 1e-7.
-AGREEMENT = 0.5
+#: Texts of other components must agree on this share of samples before they are compared; at similarity 0.8 fewer agree
+#: with a probability of 2e-4.
+AGREEMENT = 0.6
+#: Texts of a block, about: two blocks of a band are compared in one task.
+BLOCK = 128
 
 _rng = np.random.default_rng(77)
 #: Draws of the sampling, r and ln c of gamma(2, 1) and uniform beta, looked up by hash of shingle and sample.
@@ -162,6 +165,86 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u struct<a: long, b: long>, v struct<a: long, b: long>")
 
 
+def bags(texts: DataFrame, weights: Weights) -> DataFrame:
+    """key, and the sorted shingle hashes of a text with their weights, as bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            own = Shingles(part.column("text").to_pylist())
+            w, cuts = shared.value.of(own), list(zip(own.bounds, own.bounds[1:]))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([own.hashes[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([w[a:b].tobytes() for a, b in cuts], pa.binary())], ["key", "hashes", "weights"])
+
+    return map_arrow(texts.select("key", "text"), work, "key struct<a: long, b: long>, hashes binary, weights binary")
+
+
+def joined_in_block(rows: pa.Table) -> list[tuple[int, int]]:
+    """Places of verified links between different components of one pair of blocks, as few as join them."""
+    band, block, component = rows.column("band")[0].as_py(), rows.column("block").to_numpy(), rows.column("component").to_pylist()
+    names = {c: i for i, c in enumerate(dict.fromkeys((c["a"], c["b"]) for c in component))}
+    root = np.array([names[c["a"], c["b"]] for c in component])
+    samples_ = rows.column("samples").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    left = np.flatnonzero(block == block[0])
+    right = left if rows.column("one")[0].as_py() else np.flatnonzero(block != block[0])
+    hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    weights = [np.frombuffer(x, np.float32) for x in rows.column("weights").to_pylist()]
+    size = np.array([w.sum(dtype=np.float64) for w in weights])
+    found = []
+    for i in left:
+        others = right[right > i] if right is left else right
+        same = samples_[others] == samples_[i]
+        earlier = same[:, : band * ROWS].reshape(len(others), band, ROWS).all(2).any(1)  # compared there
+        js = others[(same.sum(1) >= AGREEMENT * BANDS * ROWS) & ~earlier & (root[others] != root[i])]
+        if not len(js):
+            continue
+        flat, w = np.concatenate([hashes[j] for j in js]), np.concatenate([weights[j] for j in js])
+        at = np.minimum(np.searchsorted(hashes[i], flat), len(hashes[i]) - 1)
+        both = np.where(hashes[i][at] == flat, np.minimum(weights[i][at], w), 0).astype(np.float64)
+        shared = np.add.reduceat(both, np.cumsum([0, *(len(hashes[j]) for j in js[:-1])]))
+        for j in js[shared >= SIMILARITY * (size[i] + size[js] - shared)]:
+            if root[j] != root[i]:
+                found.append((int(i), int(j)))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def joined_across(open_: DataFrame) -> DataFrame:
+    """Verified links (u, v) between components of each band of ``open_``: band, hash, key, component, samples, bag."""
+    bands = ["band", "hash"]
+    sizes = open_.groupBy(*bands).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = open_.join(sizes, bands).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    grouped = pairs.withColumn("g", F.xxhash64(*bands, low, high)).withColumn("one", F.col("block") == F.col("other"))
+    columns = ["g", "band", "block", "one", "key", "component", "samples", "hashes", "weights"]
+    ordered = grouped.select(*columns, low.alias("low"), high.alias("high"), "hash").repartition("g").sortWithinPartitions("g", "band", "hash", "low", "high", "block", "key")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            links_ = joined_in_block(rows) if len(rows) > 1 else []
+            if links_:
+                keys = rows.column("key").combine_chunks()
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[k] for x in links_])) for k in range(2)], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if held and held[-1].column("g")[0].as_py() != g[a]:
+                    yield from linked(pa.concat_tables(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from linked(pa.concat_tables(held))
+
+    return map_arrow(ordered, work, "u struct<a: long, b: long>, v struct<a: long, b: long>")
+
+
 def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) of different texts, keys of ``keyed``, and the verified links between them."""
     texts = keyed(documents).select(F.col("_key").alias("key"), F.col("_text").alias("text"))
@@ -169,7 +252,8 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(signatures(texts, weights).groupBy("key").agg(F.first("samples").alias("samples")), "samples")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("samples", i * ROWS + 1, ROWS)))).alias("band", "hash")
     posted = signed.select("key", band)
-    full = posted.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    # Joined as a table, so that the adaptive join can split a band with very many texts.
+    full = written(posted.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "full")
     shared = written(posted.join(full, ["band", "hash"]), "bands")
 
     central = shared.groupBy("key").agg(F.sum(F.log2("n")).alias("weight"))
@@ -180,20 +264,16 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = written(verified(pairs, some, weights), "verified")
     found = components(first)
 
-    # Members of a band that aren't all of one component: compare across components what agrees on enough samples.
+    # Bands whose members are of several components: compare across components, block by block.
     label = shared.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "hash", "key", F.coalesce("component", "key").alias("component"))
-    mixed_bands = label.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hash")
-    open_ = written(label.join(mixed_bands, ["band", "hash"]).join(signed, "key"), "open")
-    agree = F.aggregate(F.zip_with("l.samples", "r.samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.hash") == F.col("r.hash"))
-    across = open_.alias("l").join(open_.alias("r"), same & (F.col("l.key") < F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (agree >= int(AGREEMENT * BANDS * ROWS)))
-    rest = across.select(F.col("l.key").alias("u"), F.col("r.key").alias("v")).distinct()
-    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    second = written(verified(written(rest.join(tried, ["u", "v"], "left_anti"), "rest"), some, weights), "verified")
+    several = written(label.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hash"), "several")
+    apart = written(label.join(several, ["band", "hash"]), "apart")
+    bag = written(bags(some.join(apart.select("key").distinct(), "key", "left_semi"), weights).join(signed, "key"), "bags")
+    second = written(joined_across(apart.join(bag, "key")), "verified")
     every = first.unionByName(second)
     if not second.isEmpty():
         found = components(every)
-    release(shared, centres, open_, some)
+    release(full, shared, centres, several, apart, bag, some)
     return found, every
 
 
@@ -209,7 +289,7 @@ def classes(documents: DataFrame) -> DataFrame:
     with_words = rows.where("not wordless").select("doc_id", "node")
     lowest = with_words.groupBy("node").agg(F.min("doc_id").alias("low")).join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lowest = written(lowest, "lowest")
-    named = lowest.join(lowest.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id")
+    named = written(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id"), "named")
     return with_words.join(named, "node").select("doc_id", "class_id").unionByName(rows.where("wordless").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
@@ -221,5 +301,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     lowest = rows.where(has_words).groupBy(F.col("_key").alias("node")).agg(F.min("doc_id").alias("low"))
     best = lowest.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("b"))
     chosen = written(best.select(F.col("b.node").alias("_key"), F.col("b.low").alias("_low")), "chosen")
-    kept = rows.where(has_words).join(chosen, "_key").where(F.col("doc_id").eqNullSafe(F.col("_low"))).dropDuplicates(["_key"])
+    # The id is part of the join key, so the copies of one text don't meet in one task.
+    same = (F.col("r._key") == F.col("c._key")) & F.col("r.doc_id").eqNullSafe(F.col("c._low"))
+    kept = rows.where(has_words).alias("r").join(chosen.alias("c"), same).select("r.*").dropDuplicates(["_key", "doc_id"])
     return kept.select(*documents.columns).unionByName(rows.where(~has_words).select(*documents.columns))
