@@ -59,7 +59,7 @@ def encode(payloads: list[bytes], block: int = BLOCK, most: int = 1 << 18) -> li
     first = 0
     while first < len(parts):
         end, size = first + 1, len(parts[first][2])
-        while end < len(parts) and size + len(parts[end][2]) <= most:
+        while end < min(len(parts), first + 512) and size + len(parts[end][2]) <= most:
             size += len(parts[end][2])
             end += 1
         for (i, _, _), found in zip(parts[first:end], encode_frames([x[2] for x in parts[first:end]], [x[1] // block for x in parts[first:end]], block)):

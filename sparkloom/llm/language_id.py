@@ -32,6 +32,8 @@ CENTROIDS, ROUNDS = 4, 8
 #: Texts below class SHORT say too little to be rejected.
 QUANTILE, FACTOR, ENOUGH, CLASSES, SHORT = 0.995, 1.4, 30, 24, 6
 WORDLESS = re.compile(r"[\W\d_]+")
+#: Texts whose vectors are held at a time, however short they are.
+ROWS = 256
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -62,6 +64,12 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches):
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
+
+
 def length_class(texts: list[str]) -> np.ndarray:
     return np.minimum(np.array([len(plain(x)).bit_length() - 1 for x in texts], np.int64), CLASSES - 1)
 
@@ -117,7 +125,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(WIDTH, np.int64), 0
-        for part in chunks(batches, most=1 << 20):
+        for part in slices(batches):
             total += (counts(part.column("text").to_pylist()) > 0).sum(0)
             n += part.num_rows
         if n:
@@ -132,7 +140,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     picked = learn.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most ``sample`` ids for each language
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, most=1 << 20):
+        for part in slices(batches):
             x = vectors(part.column("text").to_pylist(), idf)
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("doc_id"), pa.array(length_class(part.column("text").to_pylist())), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "doc_id", "class", "x"])
 
@@ -155,7 +163,7 @@ def classify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, most=1 << 20):
+        for part in slices(batches):
             names, score, rejected = shared.value.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -163,11 +171,12 @@ def classify(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that aren't rejected, all their columns unchanged."""
+    """The documents that aren't rejected, all their columns unchanged; so text that is null or has no letter goes, equal
+    rows stay or go together, and an empty table stays empty."""
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, most=1 << 20):
+        for part in slices(batches):
             yield part.filter(pa.array(~shared.value.predict(part.column("text").to_pylist())[2]))
 
     return map_arrow(documents, work, documents.schema)
