@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents of a block, slots of a period, rows of a bucket in which ranks are counted, and sources at most.
-BLOCK, PERIOD, BUCKET, SOURCES = 64, 1000, 20_000, 5000
+BLOCK, PERIOD, BUCKET, SOURCES = 64, 1000, 2000, 5000
 
 
 def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -141,6 +141,7 @@ def schedule(documents: DataFrame, weights: dict[str | None, float] | None = Non
 
 
 def in_order(documents: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """The same rows and columns, dealt to partitions and sorted in the order of the mix."""
+    """The same rows and columns, dealt to partitions and sorted in the order of the mix; null sources, null texts, equal
+    rows and empty tables as in ``mix``."""
     mixed = mix(documents, weights)
     return mixed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*documents.columns)
