@@ -282,13 +282,18 @@ def apportioned(weights: list[float], total: int, least: int, most: int) -> list
 
 
 def rouge_l(reference: str, hypothesis: str) -> float:
+    """F1 of the longest common subsequence. A row of its table is one integer, a bit for each word of ``a``, in which the
+    length rises where a bit is 0."""
     a, b = reference.split(), hypothesis.split()
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    common = row[-1]
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & every
+    common = len(a) - row.bit_count()
     if not common:
         return 0.0
     precision, recall = common / len(b), common / len(a)

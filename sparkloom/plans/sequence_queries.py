@@ -49,8 +49,8 @@ of_texts("str_multilingual_tokens", "doc_id long, n long, first string", lambda
 of_texts("str_fact_supported", "doc_id long, supported boolean", lambda i, x: [(i, Q.supported(" ".join(x.split()[2:8]), x))])
 of_texts("kg_relation_supported", "doc_id long, supported boolean", lambda i, x: [(i, Q.relation_supported("the", "of", "and", x))])
 of_texts("str_speaker_extract", "doc_id long, names string", lambda i, x: [(i, "|".join(Q.speaker_names(x, ["The", "Of"])))])
-of_texts("date_historical_cutoffs", "doc_id long, cutoffs string", lambda i, x: [(i, "|".join(Q.historical_cutoffs(f"as of 2024-01-{i % 28 + 1:02d} {x[:0]}")))])
-of_texts("str_rouge_l", "doc_id long, f1 double", lambda i, x: [(i, round(Q.rouge_l(" ".join(x.split()[0:60]), " ".join(x.split()[5:65])), 6))])
+of_texts("date_historical_cutoffs", "doc_id long, cutoffs string", lambda i, x: [(i, "|".join(Q.historical_cutoffs(f"as of 2024-01-{i % 28 + 1:02d} {x}")))])
+of_texts("str_rouge_l", "doc_id long, f1 double", lambda i, x: [(i, round(Q.rouge_l(" ".join(x.split()[:-5]), " ".join(x.split()[5:])), 6))])
 of_texts("str_snapshot_compare", "doc_id long, covered boolean", lambda i, x: [(i, Q.snapshot_covered(x, " ".join(x.split()[::2])))])
 HOURS = ["first 5 minutes", "last half an hour", "at the start", "nothing"]
 query("SELECT conv_id, turn, ['seconds', 'seconds', 'ratio', NULL][(turn % 4 + 1)::INT] AS kind, [0.0, -1800.0, 0.0, NULL][(turn % 4 + 1)::INT]::DOUBLE AS low, [300.0, 0.0, 0.25, NULL][(turn % 4 + 1)::INT]::DOUBLE AS high FROM conversations", "date_temporal_hint")(
