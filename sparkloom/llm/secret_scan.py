@@ -11,6 +11,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,9 +52,18 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     return spans, values
 
 
-def near(starts: list[int], spans: list[Span], begin: int, end: int, text: str) -> bool:
-    """Interval join for one span: is any of the ``spans``, sorted by start, in its scope and paragraph?"""
-    for start, _, stop in spans[bisect_left(starts, begin - 2 * SCOPE) : bisect_right(starts, end + SCOPE)]:
+class Index:
+    """Spans sorted by start, with the furthest end so far: as it never falls, it too can be searched."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = sorted(spans)
+        self.starts = [x[0] for x in self.spans]
+        self.reach = list(accumulate((x[2] for x in self.spans), max))
+
+
+def near(index: Index, begin: int, end: int, text: str) -> bool:
+    """Interval join for one span: is any span of the index in its scope and paragraph, however long it is?"""
+    for start, _, stop in index.spans[bisect_left(index.reach, begin - SCOPE) : bisect_right(index.starts, end + SCOPE)]:
         if stop >= begin - SCOPE and not (stop <= end and start >= begin) and "\n\n" not in text[min(stop, end) : max(start, begin)]:
             return True
     return False
@@ -62,16 +72,15 @@ def near(starts: list[int], spans: list[Span], begin: int, end: int, text: str)
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts whose complements co-occur; text without an access identifier or endpoint has none."""
     endpoints = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    access = sorted(x for x in base if x[1] == 1)
+    access = [x for x in base if x[1] == 1]
     if not access and not (endpoints and base):
         return []
     taken = sorted((x[0], x[2]) for x in base + endpoints)
     begins = [x[0] for x in taken]
     opaque = [(m.start(), 3, m.end()) for m in OPAQUE.finditer(text) if not any(e > m.start() for _, e in taken[max(0, bisect_right(begins, m.start()) - 3) : bisect_left(begins, m.end())])]
-    strong = sorted(base)
-    at_access, at_strong = [x[0] for x in access], [x[0] for x in strong]
-    weak = [x for x in opaque if near(at_access, access, x[0], x[2], text)]
-    return weak + [x for x in endpoints if near(at_strong, strong, x[0], x[2], text)]
+    at_access, at_strong = Index(access), Index(base)
+    weak = [x for x in opaque if near(at_access, x[0], x[2], text)]
+    return weak + [x for x in endpoints if near(at_strong, x[0], x[2], text)]
 
 
 def listed(spans: list[Span]) -> str:

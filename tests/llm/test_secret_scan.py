@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from sparkloom.llm import secret_scan
@@ -37,3 +38,23 @@ def test_redacted(spark):
     out = {r.doc_id: r for r in secret_scan.redacted(documents(spark)).collect()}
     assert out[9].text == "<|endoftext|> it's 3.14 token=abc secret=[secret]" and out[9].n_chars == len(out[9].text)
     assert out[0].text is None and out[4].text == rows()[4][1] and out[7].label == "x"
+
+
+def test_a_long_part_is_linked_in_either_order(spark):
+    url = "https://store.example.com/v1"
+    for part in ("token=" + "aB3" * 334, "0a" * 700, "AKIA" + "Z9" * 500):
+        texts = [f"{part} {url}", f"{url} {part}", f"{part}{' w' * 160} {url}"]
+        found = [[secret_scan.KINDS[k] for _, k, _ in secret_scan.linked_spans(x, secret_scan.base_spans(x)[0])] for x in texts]
+        assert found == [["endpoint"], ["endpoint"], []]
+    data = [(1, "token=" + "aB3" * 334 + f" {url}", None, None, None, None, None, None)]
+    assert secret_scan.redacted(documents(spark, data)).first().text == "token=[secret] [secret]"
+
+
+def test_near_is_every_span_of_the_scope():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [(s, 0, s + rng.choice([10, 200, 900])) for s in (rng.randrange(4000) for _ in range(rng.randint(0, 6)))]
+        begin = rng.randrange(4000)
+        end = begin + rng.choice([20, 700])
+        want = any(stop >= begin - secret_scan.SCOPE and start <= end + secret_scan.SCOPE and not (stop <= end and start >= begin) for start, _, stop in spans)
+        assert secret_scan.near(secret_scan.Index(spans), begin, end, "x" * 6000) == want
