@@ -336,13 +336,25 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def decode(streams: list[bytes], lanes: int = 4096) -> list[bytes]:
-    """The payloads of streams, so many frames side by side where seek points cover them, else one after another."""
+    """The payloads of streams."""
+    return [payload for payload, _ in decode_with_frames(streams, lanes)]
+
+
+def covers(points: list[tuple[int, int, int]], samples: int) -> bool:
+    """Whether each seek point begins where the one before ends, from the first sample to the last."""
+    ends = [0, *(first + n for first, _, n in points)]
+    return bool(points) and ends[-1] == samples and all(p[0] == end for p, end in zip(points, ends))
+
+
+def decode_with_frames(streams: list[bytes], lanes: int = 4096) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
+    """The payload of each stream, and first sample, samples and byte offset of each frame that was read: so many frames
+    side by side where seek points cover a stream, else one after another, to its end if it doesn't say how many samples it has."""
     laid = [layout(s) for s in streams]
-    covered = [sum(p[2] for p in points) == samples for _, samples, _, points in laid]
+    covered = [covers(points, samples) for _, samples, _, points in laid]
     base = np.cumsum([0, *map(len, streams)])
     starts = np.array([int(base[i]) + at + p[1] for i, (at, _, _, points) in enumerate(laid) if covered[i] for p in points], np.int64)
-    out: list[bytes] = [b""] * len(streams)
-    flat, data = [], np.frombuffer(b"".join(streams), np.uint8)
+    out: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+    flat, sizes, data = [], [np.zeros(0, np.int64)], np.frombuffer(b"".join(streams), np.uint8)
     limits = base[np.searchsorted(base, starts, side="right")]
     for k in range(0, len(starts), lanes):
         own = starts[k : k + lanes]
@@ -350,19 +362,30 @@ def decode(streams: list[bytes], lanes: int = 4096) -> list[bytes]:
         if (ends + own[0] > limits[k : k + lanes]).any():
             raise ValueError("a frame runs past its stream")
         flat.append(x.T[np.arange(x.shape[0]) < size[:, None]].tobytes())
-    flat = b"".join(flat)
-    at = 0
-    for i, (begin, samples, md5, _) in enumerate(laid):
+        sizes.append(size)
+    flat, sizes = b"".join(flat), np.concatenate(sizes).tolist()
+    at = frame = 0
+    for i, (begin, samples, md5, points) in enumerate(laid):
+        frames, total = [], 0
         if covered[i]:
-            out[i] = flat[at : at + samples]
+            for _, offset, _ in points:
+                frames.append((total, sizes[frame], begin + offset))
+                total += sizes[frame]
+                frame += 1
+            if total != samples:
+                raise ValueError("the frames aren't as long as the seek points say")
+            payload = flat[at : at + samples]
             at += samples
         else:
-            data, found, place = np.frombuffer(streams[i], np.uint8), [], begin
-            while sum(map(len, found)) < samples:
-                x, size, ends = decode_frames(data, np.array([place]))
+            own, found, place = np.frombuffer(streams[i], np.uint8), [], begin
+            while total < samples if samples else place < len(streams[i]):
+                x, size, ends = decode_frames(own, np.array([place]))
                 found.append(x[: size[0], 0].tobytes())
+                frames.append((total, int(size[0]), place))
+                total += int(size[0])
                 place = int(ends[0])
-            out[i] = b"".join(found)
-        if any(md5) and hashlib.md5((np.frombuffer(out[i], np.uint8) ^ 0x80).tobytes()).digest() != md5:
+            payload = b"".join(found)
+        if any(md5) and hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != md5:
             raise ValueError("the samples don't match their checksum")
+        out.append((payload, frames))
     return out

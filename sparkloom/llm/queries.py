@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, lm_scoring, media, mixing, near_dedup, packing, permutation_index, secret_scan, substring_dedup, token_output
-from .common import table
+from .common import table, written
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store(table(spark, sf_dir, "documents")))
+    return media.block_digests(written(media.numbered_blocks(media.store(table(spark, sf_dir, "documents"))), "blocks"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,39 @@ def test_digests_and_blocks(spark):
         joined[6] = joined.get(6, b"") + bytes(b.pcm)
     assert joined[6].rstrip(b"\0").decode() == rows()[6][1]
     assert media.digests(media.store(empty(spark))).count() == 0
+
+
+def with_points(s, keep, samples=None):
+    """The stream with only some of its seek points, and perhaps another number of samples."""
+    begin, n, _, points = flac.layout(s)
+    table = b"".join(first.to_bytes(8, "big") + offset.to_bytes(8, "big") + k.to_bytes(2, "big") for first, offset, k in points[:: keep])
+    info = bytearray(s[8:42])
+    info[10:18] = (int.from_bytes(info[10:18], "big") - n + (n if samples is None else samples)).to_bytes(8, "big")
+    return s[:8] + bytes(info) + b"\x83" + len(table).to_bytes(3, "big") + table + s[begin:]
+
+
+def test_blocks_cover_streams_with_few_seek_points(spark):
+    own = [bytes((i * i + k) % 251 for i in range(64 * 160)) for k in range(3)]
+    full = flac.encode(own)
+    streams = [with_points(full[0], 3), full[1], with_points(full[2], 4, 0)]
+    assert len(flac.layout(streams[0])[3]) == 4 and len(flac.layout(full[0])[3]) == 10
+    assert flac.decode(streams) == own
+    found = media.blocks(spark.createDataFrame(list(enumerate(streams)), "doc_id long, media binary")).collect()
+    for i, data in enumerate(own):
+        mine = sorted((b for b in found if b.doc_id == i), key=lambda b: b.block)
+        assert b"".join(bytes(b.pcm) for b in mine) == data and len(mine) == 10
+        assert all(streams[i][b.byte_offset : b.byte_offset + 2] == b"\xff\xf8" and data[b.first_sample :][: b.n_samples] == bytes(b.pcm) for b in mine)
+
+
+def test_query_reads_written_blocks(spark, tmp_path):
+    from sparkloom.llm.common import written
+    from sparkloom.llm.queries import op2_media
+
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(str, media.digests(media.store(documents(spark))).collect()))
+    assert sorted(map(str, op2_media(spark, str(tmp_path)).collect())) == want and len(want) == 12
+    kept = written(media.numbered_blocks(media.store(documents(spark))), "blocks")
+    assert sorted(map(str, media.block_digests(kept.repartition(5, "first_sample")).collect())) == want
+    for lost in ("not (doc_id = 6 and block = 3)", "not (doc_id = 6 and block = n_blocks - 1)"):
+        with pytest.raises(Exception, match="block"):
+            media.block_digests(kept.where(lost)).collect()
