@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -98,3 +99,23 @@ def test_patterns_place_every_piece_once():
         assert total == histogram
         if most > 99:
             assert sum(c for c, _ in found) * most < 1.02 * sum(k * v for k, v in histogram.items()) + 2 * most
+
+
+def test_pieces_of_a_length_follow_files_and_rows_not_the_reader(spark, tmp_path):
+    # Files of unequal size, the last the longest, which the reader takes first.
+    for name, a, b, size in (("part-00000-x-c000", 0, 5, 1), ("part-00001-x-c000", 5, 9, 400), ("part-00001-x-c001", 9, 15, 10), ("part-00010-x-c000", 15, 40, 900)):
+        rows = [(i, "same text", hashlib.sha512(str(i).encode()).hexdigest() * size) for i in range(a, b)]
+        spark.createDataFrame(rows, "doc_id long, text string, filler string").coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/{name}")
+        (tmp_path / "mix").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / "mix" / f"{name}.parquet")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "600k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            mix = spark.read.parquet(f"{tmp_path}/mix")
+            length = packing.pack(mix).first().length
+            assert [r.sequence_id for r in packing.pack(mix, most=length).orderBy("doc_id").collect()] == list(range(40))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
