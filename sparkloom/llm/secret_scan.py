@@ -26,7 +26,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is what [0-9a-f]+ find
 
 NAMES = ("passw", "secret", "token", "api")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}")
+# A digit and a capital within the string itself, so each string is looked at three times at most.
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "opaque", "endpoint")
 BASE = KINDS[:3]
@@ -60,6 +61,11 @@ class Index:
         self.starts = [x[0] for x in self.spans]
         self.reach = list(accumulate((x[2] for x in self.spans), max))
 
+    def overlaps(self, begin: int, end: int) -> bool:
+        """Does any span share a character with [begin, end)? The furthest end of those that start before it says so."""
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > begin
+
 
 def near(index: Index, begin: int, end: int, text: str) -> bool:
     """Interval join for one span: is any span of the index in its scope and paragraph, however long it is?"""
@@ -75,9 +81,8 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     access = [x for x in base if x[1] == 1]
     if not access and not (endpoints and base):
         return []
-    taken = sorted((x[0], x[2]) for x in base + endpoints)
-    begins = [x[0] for x in taken]
-    opaque = [(m.start(), 3, m.end()) for m in OPAQUE.finditer(text) if not any(e > m.start() for _, e in taken[max(0, bisect_right(begins, m.start()) - 3) : bisect_left(begins, m.end())])]
+    taken = Index(base + endpoints)
+    opaque = [(m.start(), 3, m.end()) for m in OPAQUE.finditer(text) if not taken.overlaps(m.start(), m.end())]
     at_access, at_strong = Index(access), Index(base)
     weak = [x for x in opaque if near(at_access, x[0], x[2], text)]
     return weak + [x for x in endpoints if near(at_strong, x[0], x[2], text)]
