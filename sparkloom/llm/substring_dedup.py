@@ -9,13 +9,16 @@ nonbranching path. Paths, not edges, go through the joins:
 3. Where paths branch, those that occur again as a whole repeat; each of the rest, and one of each repeated path, is
    taken apart into its edges at its source coordinates, and edges that two paths share repeat.
 
-Repeated paths and edges of a document then join into spans at their source coordinates. An edge is identified by
-128 bits of hashes; every window of every document is judged, and nothing is removed before all are.
+Repeated paths and edges of a document then join into spans at their source coordinates. Paths and edges are compared
+by a cryptographic digest of the very words at their source coordinates, within one anchor, so other words pass for equal
+only if 64 bits of BLAKE2 and 64 bits of the anchor agree by chance. Every window of every document is judged, and
+nothing is removed before all are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -32,8 +35,14 @@ ANCHOR, PLACE_BITS = 8, 30
 RUN = 64
 
 
+def digests(words: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What the words of each range are, joined by one space: 64 bits of BLAKE2."""
+    own = words.words
+    return np.frombuffer(b"".join([blake2b(b" ".join(own[i:j]), digest_size=8).digest() for i, j in zip(starts.tolist(), ends.tolist())]), np.int64)
+
+
 def paths(words: Words, size: int) -> tuple[np.ndarray, ...]:
-    """(text, first word, windows, anchor hash, path hash) of all paths of the batch."""
+    """(text, first word, windows, anchor hash, digest) of all paths of the batch."""
     k = min(ANCHOR, size)
     first = words.windows(size)
     if not len(first):
@@ -49,9 +58,8 @@ def paths(words: Words, size: int) -> tuple[np.ndarray, ...]:
     cut = np.unique(np.concatenate([cut, *(cut + j for j in range(RUN - 1, size, RUN - 1))])) if size - k + 1 >= RUN else cut
     cut = cut[cut < len(first)]
     n = np.diff(np.append(cut, len(first)))
-    second = sums(words.hashes, WORD_BASES[1])
     start = first[cut]
-    return text[cut], start - words.bounds[text[cut]], n, anchors[place[cut]].view(np.int64), ranges(second, start, start + n + size - 1, WORD_BASES[1]).view(np.int64)
+    return text[cut], start - words.bounds[text[cut]], n, anchors[place[cut]].view(np.int64), digests(words, start, start + n + size - 1)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def occurrences(documents: DataFrame, size: int) -> DataFrame:
 
 
 def edges(documents: DataFrame, runs: DataFrame, size: int) -> DataFrame:
-    """The windows of some paths, (a, b, run, anchor) of ``runs``: anchor, edge hash, and source coordinates."""
+    """The windows of some paths, (a, b, run, anchor) of ``runs``: anchor, digest, and source coordinates."""
     by_text = runs.groupBy("a", "b").agg(F.collect_list(F.struct("run", "anchor")).alias("runs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +92,8 @@ def edges(documents: DataFrame, runs: DataFrame, size: int) -> DataFrame:
             row = np.repeat(np.arange(len(run)), n)
             start = (run // RUN)[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             at = words.bounds[text[row]] + start
-            edge = ranges(sums(words.hashes, WORD_BASES[1]), at, at + size, WORD_BASES[1])
-            yield pa.RecordBatch.from_arrays([pa.array(part.column("a").to_numpy()[text[row]]), pa.array(part.column("b").to_numpy()[text[row]]), pa.array(start * RUN + 1), pa.array(anchor[row]), pa.array(edge.view(np.int64))], ["a", "b", "run", "anchor", "edge"])
+            edge = digests(words, at, at + size)
+            yield pa.RecordBatch.from_arrays([pa.array(part.column("a").to_numpy()[text[row]]), pa.array(part.column("b").to_numpy()[text[row]]), pa.array(start * RUN + 1), pa.array(anchor[row]), pa.array(edge)], ["a", "b", "run", "anchor", "edge"])
 
     # One row of each key is enough: its windows stand for a path, not for how often it occurs.
     once = documents.select("a", "b", "text").join(by_text, ["a", "b"]).dropDuplicates(["a", "b"])

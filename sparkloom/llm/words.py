@@ -1,7 +1,9 @@
 """Hashes of all words and word windows of many texts at once.
 
-A word is a run of bytes other than space and the five ASCII line and tab characters. Hashes are sums over prefix
-sums modulo 2**64, so a word or window costs the same whatever its length.
+A word is a run of bytes other than space and the five ASCII line and tab characters. Words are hashed by XXH3, which
+is not linear in their bytes; a window's hash is a polynomial in its words' hashes, taken from prefix sums modulo 2**64, so
+windows cost the same whatever their length. Windows are far too short (under 2**10 words) for the sequences that
+collide under every such polynomial; where equality must not rest on that, the bytes themselves are digested.
 """
 
 from __future__ import annotations
@@ -9,11 +11,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
-BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-BYTES = np.random.default_rng(20240501).integers(0, 1 << 64, 256, dtype=np.uint64)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+WORD_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -45,18 +45,14 @@ def ranges(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 
 class Words:
-    """Words of a batch of UTF-8 texts: byte ranges, 64-bit hashes, and per text the range of its words."""
+    """Words of a batch of UTF-8 texts: 64-bit hashes, and per text the range of its words."""
 
     def __init__(self, texts: list[bytes]):
-        joined = b"\n".join(texts) + b"\n"  # so no word crosses texts
-        self.joined, data = joined, np.frombuffer(joined, np.uint8)
-        space = SPACE[data]
-        before = np.concatenate([[True], space[:-1]])
-        self.starts, self.ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-        self.hashes = ranges(sums(BYTES[data], BYTE_BASE), self.starts, self.ends, BYTE_BASE)
-        text_ends = np.cumsum([len(t) + 1 for t in texts])
-        self.bounds = np.concatenate([[0], np.searchsorted(self.starts, text_ends)]).astype(np.int64)
-        self.counts = np.diff(self.bounds)
+        found = [t.split() for t in texts]  # at just the six characters that end a word
+        self.counts = np.array([len(x) for x in found], np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+        self.words = [w for x in found for w in x]
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

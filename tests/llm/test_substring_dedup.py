@@ -54,3 +54,12 @@ def test_cases(spark):
     assert substring_dedup.without_repeats(empty(spark)).count() == 0
     spans = {r.doc_id: r.spans for r in substring_dedup.without_repeats(documents(spark), 6).collect()}
     assert [tuple(s) for s in spans[4]] == [(0, 6)] and spans[0] is None
+
+
+def test_words_that_collide_under_linear_hashes_stay_apart(spark):
+    morse = "a"
+    while len(morse) < 1024:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    shared = [f"w{i}" for i in range(34)]
+    check(spark, [(i, " ".join(shared[:17] + [w] + shared[17:]), *[None] * 6) for i, w in enumerate((morse, other))], 35)
