@@ -1,85 +1,116 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights become integers that sum to a period. Block j of a source with weight w may be placed from slot
-floor(j / w) on and must be placed before slot ceil((j + 1) / w); of the blocks that may be placed, the one with the earliest
-deadline is. No source is then ever a whole block ahead of or behind its share. The schedule repeats with the
-period, so only one period is simulated and every block finds its slot by arithmetic. When a source runs out, the
-others go on with their weights rescaled, in a new phase: every document is placed.
+Weights are exact fractions. Block j of a source with weight w may be placed from slot floor(j / w) on and must be
+placed before slot ceil((j + 1) / w); of the blocks that may be placed, the one with the earliest deadline is. No source
+is then ever a whole block ahead of or behind its target, after any number of slots. When a source runs out, the others
+go on with their weights rescaled, in a new phase: every document is placed.
+
+What is known of the schedule at one slot is a row for each source: how many blocks it has placed. The driver goes
+through the slots once, a block of documents at a time, and keeps only these rows at every SEGMENT-th slot; tasks then
+replay the segments side by side, and documents find their slot in the table that results.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of a block, slots of a period, rows of a bucket in which ranks are counted, and sources at most.
-BLOCK, PERIOD, BUCKET, SOURCES = 64, 1000, 2000, 5000
-
-
-def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Positive integers in proportion to the weights by largest remainders; their sum is the period."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    shares = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in shares.items()}
-    order = sorted(shares, key=lambda s: (-(shares[s] - int(shares[s])), s))
-    for s in order:
-        if sum(out.values()) < period:
-            out[s] += 1
-    while (over := sum(out.values()) - period) > 0:
-        largest = max(out, key=lambda s: (out[s], s))
-        out[largest] -= min(over, out[largest] - 1)
-    return out
-
-
-def one_period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    period = sum(weights.values())
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    waiting = [(0, s, 0) for s in weights]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // weights[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        slots[s].append(slot)
-        if j + 1 < weights[s]:
-            heapq.heappush(waiting, ((j + 1) * period // weights[s], s, j + 1))
-    return slots
+from .common import map_arrow
+
+#: Documents of a block, slots that a task replays, and rows of a bucket in which ranks are counted.
+BLOCK, SEGMENT, BUCKET = 64, 1 << 16, 2000
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights, of which those that aren't positive are left out."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
 @dataclass
-class Phase:
-    start: int  # first slot
-    period: int
-    slots: dict[str, list[int]]  # of each source in a period
-    first: dict[str, int]  # block of each source with which the phase begins
-    end: dict[str, int]  # block before which it ends
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Phase]:
-    """As many as sources run out one after another; sources without weight come last, all with equal weight."""
-    left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        active = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0)
-        slots = one_period(integer_weights(active, period))
-        length = sum(map(len, slots.values()))
-        stop = min((n - 1) // len(slots[s]) * length + slots[s][(n - 1) % len(slots[s])] for s, n in left.items() if s in active) + 1
-        whole, rest = divmod(stop, length)
-        placed = {s: whole * len(own) + sum(x < rest for x in own) for s, own in slots.items()}
-        out.append(Phase(start, length, slots, {s: done[s] for s in active}, {s: done[s] + placed[s] for s in active}))
-        for s, n in placed.items():
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += stop
-    return out
+class State:
+    """Where a schedule stands before ``slot``: enough to go on from there."""
+
+    slot: int
+    phase: int
+    start: int  # first slot of the phase
+    first: dict[str, int]  # blocks that each source of the phase had placed before it
+    done: dict[str, int]  # and has placed now
+
+
+def weights_of(left: list[str], weights: dict[str, int]) -> dict[str, int]:
+    """Weights of a phase; sources without weight come last, all with equal weight."""
+    return {s: weights[s] for s in left if s in weights} or dict.fromkeys(left, 1)
+
+
+def begun(blocks: dict[str, int], done: dict[str, int], weights: dict[str, int], slot: int, phase: int) -> State | None:
+    """The state in which a phase of the sources that have blocks left begins."""
+    left = [s for s, n in blocks.items() if done.get(s, 0) < n]
+    active = weights_of(left, weights)
+    return State(slot, phase, slot, {s: done.get(s, 0) for s in active}, {s: done.get(s, 0) for s in active}) if left else None
+
+
+def replay(state: State, weights: dict[str, int], ends: dict[str, int], slots: int) -> Iterator[tuple[int, str, int]]:
+    """(slot, source, block) of the next ``slots`` slots of the state's phase, or up to the last block of any source.
+    ``state`` moves on with them."""
+    own = weights_of(list(state.first), weights)
+    total = sum(own.values())
+    waiting: list[tuple[int, str]] = []  # release, source
+    ready: list[tuple[int, str]] = []  # deadline, source
+    for s in own:
+        heapq.heappush(waiting, ((state.done[s] - state.first[s]) * total // own[s], s))
+    for slot in range(state.slot, state.slot + slots):
+        while waiting and waiting[0][0] <= slot - state.start:
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(state.done[s] - state.first[s] + 1) * total // own[s]), s))
+        _, s = heapq.heappop(ready)
+        yield slot, s, state.done[s]
+        state.done[s] += 1
+        state.slot = slot + 1
+        if state.done[s] == ends[s]:
+            return
+        heapq.heappush(waiting, ((state.done[s] - state.first[s]) * total // own[s], s))
+
+
+def segments(blocks: dict[str, int], weights: dict[str, int], length: int = SEGMENT) -> Iterator[tuple[State, int]]:
+    """A copy of the state at the start of each segment, and its slots; a phase begins a segment of its own."""
+    done: dict[str, int] = {}
+    state = begun(blocks, done, weights, 0, 0)
+    while state:
+        copy = State(state.slot, state.phase, state.start, state.first, dict(state.done))
+        n = sum(1 for _ in replay(state, weights, blocks, length))
+        yield copy, n
+        if any(state.done[s] == blocks[s] for s in state.done):
+            done |= state.done
+            state = begun(blocks, done, weights, state.slot, state.phase + 1)
+
+
+def slots_table(spark, blocks: dict[str, int], weights: dict[str, int], length: int = SEGMENT) -> DataFrame:
+    """s, block, slot, phase and phase_weight of every block. The driver sends a row for each segment."""
+    rows = ((x.slot, n, x.phase, x.start, list(x.first), list(x.first.values()), list(x.done.values())) for x, n in segments(blocks, weights, length))
+    plan = spark.createDataFrame(rows, "slot long, n long, phase int, start long, s array<string>, first array<long>, done array<long>")
+    schema = "s string, block long, slot long, phase int, phase_weight double"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                state = State(r["slot"], r["phase"], r["start"], dict(zip(r["s"], r["first"])), dict(zip(r["s"], r["done"])))
+                own = weights_of(r["s"], weights)
+                total = sum(own.values())
+                share = {s: float(Fraction(w, total)) for s, w in own.items()}
+                found = list(replay(state, weights, blocks, r["n"]))
+                columns = ([x[1] for x in found], [x[2] for x in found], [x[0] for x in found], [r["phase"]] * len(found), [share[x[1]] for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(t)) for c, t in zip(columns, ("string", "int64", "int64", "int32", "float64"))], [x.split()[0] for x in schema.split(", ")])
+
+    return map_arrow(plan.repartition("slot"), work, schema)
 
 
 def ranked(df: DataFrame, key: str, order: list[str], counts: dict[str, int], bucket: int = BUCKET) -> DataFrame:
@@ -101,47 +132,39 @@ def source_key(source: Column) -> Column:
 
 
 def sizes_of(documents: DataFrame) -> dict[str, int]:
-    rows = documents.groupBy(source_key(F.col("source")).alias("s")).count().limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    return {r["s"]: r["count"] for r in rows}
+    """Rows of each source: the driver holds a number for each."""
+    return {r["s"]: r["count"] for r in documents.groupBy(source_key(F.col("source")).alias("s")).count().collect()}
 
 
-def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """All rows and columns with ``_slot``, ``_place`` in its block, ``_block`` and ``_weight``; read by slot and place.
+def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, segment: int = SEGMENT, columns: list[str] | None = None) -> DataFrame:
+    """All rows: ``row``, a struct of their (or these) columns, with slot, place in its block, block, weight, phase and phase_weight
+    (the weight among the sources of the phase); read by slot and place.
 
     Without weights a source's target is the square root of its size. Documents of a source come in an order given
-    by a hash of doc_id and text, so repeated rows are just more rows; a null source is a source. An empty table
-    gives an empty result.
+    by a hash of doc_id and text, so repeated rows are just more rows; a null source is a source. Columns of any name
+    may come along. An empty table gives an empty result.
     """
     spark = documents.sparkSession
     sizes = sizes_of(documents)
-    target = {s: n**0.5 for s, n in sizes.items()} if weights is None else {"-" if s is None else f"={s}": w for s, w in weights.items()}
-    total = sum(target.get(s, 0.0) for s in sizes) or 1.0
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, target, period)
-    spans = [(k, s, p.first[s], p.end[s], p.start, p.period, len(own), target.get(s, 0.0) / total) for k, p in enumerate(plan) for s, own in p.slots.items()]
-    places = [(k, s, j, slot) for k, p in enumerate(plan) for s, own in p.slots.items() for j, slot in enumerate(own) if j < p.end[s] - p.first[s]]
-    # Both tables are bounded by phases and periods, not by rows: at most SOURCES phases of max(period, 4 * sources) slots.
-    spans_df = spark.createDataFrame(spans, "phase int, s string, first long, end long, start_slot long, period long, each long, _weight double")
-    places_df = spark.createDataFrame(places, "phase int, s string, j long, at long")
-    rows = ranked(documents.withColumn("_source", source_key(F.col("source"))).withColumn("_text", F.xxhash64("text")), "_source", ["doc_id", "_text"], sizes).drop("_text")
-    rows = rows.withColumn("_block", F.floor(F.col("rank") / block)).withColumn("_place", F.col("rank") % block).drop("rank")
-    d, sp, pl = rows.alias("d"), F.broadcast(spans_df).alias("sp"), F.broadcast(places_df).alias("pl")
-    out = d.join(sp, (F.col("d._source") == F.col("sp.s")) & (F.col("d._block") >= F.col("sp.first")) & (F.col("d._block") < F.col("sp.end")))
-    out = out.withColumn("_j", F.col("d._block") - F.col("sp.first"))
-    out = out.join(pl, (F.col("pl.phase") == F.col("sp.phase")) & (F.col("pl.s") == F.col("sp.s")) & (F.col("pl.j") == F.col("_j") % F.col("sp.each")))
-    slot = F.col("sp.start_slot") + F.floor(F.col("_j") / F.col("sp.each")) * F.col("sp.period") + F.col("pl.at")
-    return out.select(*(F.col(f"d.`{c}`") for c in documents.columns), slot.cast("long").alias("_slot"), F.col("d._block").cast("long").alias("_block"), F.col("d._place").cast("long").alias("_place"), F.col("sp._weight").alias("_weight"), F.col("sp.phase").cast("int").alias("_phase"))
-
-
-def schedule(documents: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """doc_id, source, weight, phase, block, slot and place of each document."""
-    mixed = mix(documents.select("doc_id", "text", "source"), weights, block, period)
-    return mixed.select("doc_id", "source", F.col("_weight").alias("weight"), F.col("_phase").alias("phase"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
+    target = {s: n**0.5 for s, n in sizes.items()} if weights is None else {"-" if s is None else f"={s}": float(w) for s, w in weights.items()}
+    exact = whole_weights({s: target.get(s, 0.0) for s in sizes})
+    slots = slots_table(spark, {s: -(-n // block) for s, n in sorted(sizes.items())}, exact, segment)
+    total = sum(exact.values())
+    shares = spark.createDataFrame([(s, float(Fraction(exact.get(s, 0), total)) if total else 0.0) for s in sizes], "s string, weight double")  # a row for each source
+    own = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns or documents.columns)).alias("row"), source_key(F.col("source")).alias("_source"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    rows = ranked(own, "_source", ["_id", "_text"], sizes)
+    rows = rows.select("row", F.col("_source").alias("s"), F.floor(F.col("rank") / block).cast("long").alias("block"), (F.col("rank") % block).cast("long").alias("place"))
+    # A block has ``block`` rows at most, so neither side of this join has a frequent key.
+    return rows.join(slots, ["s", "block"]).join(F.broadcast(shares), "s").select("row", "slot", "place", "block", "weight", "phase", "phase_weight")
+
+
+def schedule(documents: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, source, weight, phase, phase_weight, block, slot and place of each document; cases as in ``mix``."""
+    return mix(documents, weights, block, segment, ["doc_id", "source"]).select("row.doc_id", "row.source", "weight", "phase", "phase_weight", "block", "slot", "place")
 
 
 def in_order(documents: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """The same rows and columns, dealt to partitions and sorted in the order of the mix; null sources, null texts, equal
-    rows and empty tables as in ``mix``."""
+    rows, clashing names and empty tables as in ``mix``."""
     mixed = mix(documents, weights)
-    return mixed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*documents.columns)
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
