@@ -4,14 +4,19 @@ A document's shingles of five words weigh their count times a damped inverse doc
 with a probability equal to the weighted Jaccard similarity fall into bands; documents with an equal band are
 candidates, and the weighted Jaccard similarity itself decides. Classes are connected components of verified links.
 
-Document frequencies are counted over all documents in a count-min sketch of fixed size. The damping keeps the weights
-within a factor of 1.2: with a full logarithm, the shingles that thousands of near copies share would weigh little
-against each copy's own edits, and large groups would fall apart.
+A weight is a shingle's count times one plus its inverse document frequency, as a share of the largest there can be:
+ln((documents + 1) / frequency) / ln(RARE), at most 1. So shingles of fewer than one in RARE documents weigh most and all
+alike, at any size of the corpus, and only frequent ones need a count of their own. Their number is bounded by RARE and the mean
+number of shingles, so the table of their exact frequencies is small. It is found in two passes: a count-min sketch,
+which never falls short, screens shingles, and those that pass are counted exactly. One is added because the bare
+logarithm would be near nothing for shingles that a third of all documents share; near copies in so large a group
+would be told apart by their own few edits alone.
 
 Equal texts are one candidate. Within a band the most central text, the one whose bands are the fullest, is compared
 with all others, which is linear in the band. A band whose texts that leaves in several components is then dealt in
-blocks; each pair of blocks is one bounded group, in which texts of other components that agree in enough samples are
-compared and only links that join components come out. So no link is lost to the shortcut, and no pairs are listed.
+blocks: the largest component's texts and the others'. Each pair of blocks, but for two of the largest component, is one
+bounded group, in which texts of different components are compared and only links that join components come out. So
+no link is lost to the shortcut, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -29,13 +34,17 @@ from .components import components
 from .words import WORD_BASES, Words, mixed, ranges, sums
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: What text with words has.
+WORD = r"[^\x20\x09-\x0D]"
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**14 = 0.9994.
 BANDS, ROWS = 14, 4
-#: Rows and cells of the count-min sketch, and how far the rarest shingle outweighs the most frequent.
-SKETCH_ROWS, SKETCH_CELLS, DAMPING = 2, 1 << 18, 0.2
-#: Texts of other components must agree on this share of samples before they are compared; at similarity 0.8 fewer agree
-#: with a probability of 2e-4.
-AGREEMENT = 0.6
+#: Shingles of fewer than one in so many documents have the largest inverse document frequency; and what that adds to one.
+RARE, LARGEST = 256, 1.0
+#: Rows and cells of the count-min sketch. A cell holds a few thousandths of all documents, whatever their number.
+SKETCH_ROWS, SKETCH_CELLS = 3, 1 << 18
+#: Texts of different components must agree on this share of samples before their shingles are compared. At similarity
+#: 0.8 fewer agree with a probability of 4e-9, next to 6e-4 for no band in common: it saves time but loses nothing.
+AGREEMENT = 0.45
 #: Texts of a block, about: two blocks of a band are compared in one task.
 BLOCK = 128
 
@@ -71,24 +80,27 @@ def places(hashes: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Weights:
     documents: int
-    sketch: np.ndarray
+    hashes: np.ndarray  # of the frequent shingles, sorted
+    frequency: np.ndarray
 
     def of(self, shingles: Shingles) -> np.ndarray:
-        df = np.min([self.sketch[p] for p in places(shingles.hashes)], axis=0) if len(shingles.hashes) else np.zeros(0)
-        full = np.log((self.documents + 1) / (np.maximum(df, 1))) / np.log(self.documents + 2)
-        return (shingles.counts * (1 + DAMPING * np.clip(full, 0, 1))).astype(np.float32)
+        idf = np.ones(len(shingles.hashes))
+        if len(self.hashes) and len(idf):
+            at = np.minimum(np.searchsorted(self.hashes, shingles.hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == shingles.hashes
+            idf[known] = np.clip(np.log((self.documents + 1) / self.frequency[at[known]]) / np.log(RARE), 0, 1)
+        return (shingles.counts * (1 + LARGEST * idf)).astype(np.float32)
 
 
-def fit(documents: DataFrame) -> Weights:
-    """Document frequencies of all shingles over all documents; each task sends its sums."""
+def sketched(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """The count-min sketch of all shingles, each once for a document, and the number of documents with words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SKETCH_ROWS * SKETCH_CELLS, np.int64), 0
         for part in chunks(batches):
             own = Shingles(part.column("text").to_pylist())
             n += int((np.diff(own.bounds) > 0).sum())
-            for p in places(own.hashes):
-                total += np.bincount(p, minlength=len(total))
+            total += np.bincount(np.concatenate(places(own.hashes)), minlength=len(total))
         some = np.flatnonzero(total)
         for k in range(0, len(some), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(some[k : k + (1 << 16)].astype(np.int32)), pa.array(total[some[k : k + (1 << 16)]])], ["at", "n"])
@@ -96,9 +108,28 @@ def fit(documents: DataFrame) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], ["at", "n"])
 
     rows = map_arrow(documents.select("text"), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row for each cell at most
-    sketch = np.zeros(SKETCH_ROWS * SKETCH_CELLS + 1)
+    sketch = np.zeros(SKETCH_ROWS * SKETCH_CELLS + 1, np.int64)
     sketch[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return Weights(int(sketch[-1]), sketch[:-1])
+    return sketch[:-1], int(sketch[-1])
+
+
+def fit(documents: DataFrame) -> Weights:
+    """Exact document frequencies of the shingles that one in RARE documents or more have."""
+    sketch, n = sketched(documents)
+    least = n / RARE
+    shared = documents.sparkSession.sparkContext.broadcast(sketch >= least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            own = Shingles(part.column("text").to_pylist())
+            found, times = np.unique(own.hashes[np.logical_and.reduce([shared.value[p] for p in places(own.hashes)])], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "n"])
+
+    counted = map_arrow(documents.select("text"), count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= least).toArrow()  # at most RARE times the mean number of a document's shingles
+    hashes, frequency = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return Weights(n, hashes[order], frequency[order])
 
 
 def samples(shingles: Shingles, weights: np.ndarray) -> np.ndarray:
@@ -122,8 +153,9 @@ def samples(shingles: Shingles, weights: np.ndarray) -> np.ndarray:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """All columns, text made empty where null, and (_a, _b), which is equal for equal texts."""
-    return documents.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), "_text").alias("b")))
+    """``row``, a struct of all columns, doc_id, text made empty where null, and key, which is equal for equal texts."""
+    text = F.coalesce("text", F.lit(""))
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "doc_id", text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("key"))
 
 
 def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
@@ -211,9 +243,14 @@ def joined_in_block(rows: pa.Table) -> list[tuple[int, int]]:
 def joined_across(open_: DataFrame) -> DataFrame:
     """Verified links (u, v) between components of each band of ``open_``: band, hash, key, component, samples, bag."""
     bands = ["band", "hash"]
-    sizes = open_.groupBy(*bands).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = open_.join(sizes, bands).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = open_.groupBy(*bands, "component").agg(F.count("*").alias("n"))
+    sizes = each.groupBy(*bands).agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    sizes = sizes.select(*bands, F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / BLOCK).alias("theirs"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks"))
+    # Blocks 0 to ``theirs`` - 1 hold the largest component, which isn't compared with itself; the rest hold the others.
+    of_largest = F.col("component") == F.col("largest")
+    of = F.xxhash64("key")
+    dealt = open_.join(sizes, bands).withColumn("block", F.when(of_largest, F.pmod(of, F.col("theirs"))).otherwise(F.col("theirs") + F.pmod(of, F.col("blocks"))).cast("long"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.when(of_largest, F.col("theirs")).otherwise(F.lit(0)).cast("long"), (F.col("theirs") + F.col("blocks") - 1).cast("long"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     grouped = pairs.withColumn("g", F.xxhash64(*bands, low, high)).withColumn("one", F.col("block") == F.col("other"))
     columns = ["g", "band", "block", "one", "key", "component", "samples", "hashes", "weights"]
@@ -247,7 +284,7 @@ def joined_across(open_: DataFrame) -> DataFrame:
 
 def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) of different texts, keys of ``keyed``, and the verified links between them."""
-    texts = keyed(documents).select(F.col("_key").alias("key"), F.col("_text").alias("text"))
+    texts = keyed(documents.select("doc_id", "text")).select("key", "text")
     weights = fit(texts)
     signed = written(signatures(texts, weights).groupBy("key").agg(F.first("samples").alias("samples")), "samples")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("samples", i * ROWS + 1, ROWS)))).alias("band", "hash")
@@ -285,7 +322,7 @@ def classes(documents: DataFrame) -> DataFrame:
     document has an id has a null class_id. An empty table gives an empty result.
     """
     found, _ = links(documents)
-    rows = keyed(documents.select("doc_id", "text")).withColumn("wordless", ~F.col("_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("_key").alias("node"), "wordless")
+    rows = keyed(documents.select("doc_id", "text")).select("doc_id", F.col("key").alias("node"), (~F.col("text").rlike(WORD)).alias("wordless"))
     with_words = rows.where("not wordless").select("doc_id", "node")
     lowest = with_words.groupBy("node").agg(F.min("doc_id").alias("low")).join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lowest = written(lowest, "lowest")
@@ -294,14 +331,15 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The first document of each class by doc_id, with all its columns; documents without words all stay."""
+    """The first document of each class by doc_id, with all its columns, whatever their names; documents without words all
+    stay, and cases as in ``classes``."""
     found, _ = links(documents)
     rows = keyed(documents)
-    has_words = F.col("_text").rlike(r"[^\x20\x09-\x0D]")
-    lowest = rows.where(has_words).groupBy(F.col("_key").alias("node")).agg(F.min("doc_id").alias("low"))
+    has_words = F.col("text").rlike(WORD)
+    lowest = rows.where(has_words).groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("low"))
     best = lowest.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("b"))
-    chosen = written(best.select(F.col("b.node").alias("_key"), F.col("b.low").alias("_low")), "chosen")
+    chosen = written(best.select(F.col("b.node").alias("node"), F.col("b.low").alias("low")), "chosen")
     # The id is part of the join key, so the copies of one text don't meet in one task.
-    same = (F.col("r._key") == F.col("c._key")) & F.col("r.doc_id").eqNullSafe(F.col("c._low"))
-    kept = rows.where(has_words).alias("r").join(chosen.alias("c"), same).select("r.*").dropDuplicates(["_key", "doc_id"])
-    return kept.select(*documents.columns).unionByName(rows.where(~has_words).select(*documents.columns))
+    same = (F.col("key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("low"))
+    kept = rows.where(has_words).join(chosen, same).dropDuplicates(["key", "doc_id"])
+    return kept.select("row.*").unionByName(rows.where(~has_words).select("row.*"))

@@ -12,7 +12,7 @@ def weighted(texts):
     for h in own.hashes.tolist():
         df[h] = df.get(h, 0) + 1
     n = int((np.diff(own.bounds) > 0).sum())
-    w = own.counts * (1 + near_dedup.DAMPING * np.clip(np.log((n + 1) / np.array([df[h] for h in own.hashes.tolist()])) / np.log(n + 2), 0, 1))
+    w = own.counts * (1 + np.clip(np.log((n + 1) / np.array([df[h] for h in own.hashes.tolist()])) / np.log(near_dedup.RARE), 0, 1))
     return [dict(zip(own.hashes[a:b].tolist(), w[a:b])) for a, b in zip(own.bounds, own.bounds[1:])]
 
 
@@ -77,9 +77,29 @@ def test_samples_agree_as_often_as_weights_overlap():
     for i in range(0, 300, 30):
         b[i] = "x" + b[i]
     own = near_dedup.Shingles([" ".join(a), " ".join(b)])
-    w = np.where(np.arange(len(own.hashes)) % 2, own.counts, own.counts).astype(np.float32)
-    found = near_dedup.samples(own, w)
-    assert abs((found[0] == found[1]).mean() - near_dedup.similarity(own, w, 0, 1)) < 0.16
+    common = np.isin(own.hashes, np.intersect1d(own.hashes[own.text == 0], own.hashes[own.text == 1]))
+    for shared, single in ((1, 1), (3.5, 0.5), (0.4, 2.7)):
+        w = (own.counts * np.where(common, shared, single) * (1 + own.hashes % np.uint64(7) / 5)).astype(np.float32)
+        found = near_dedup.samples(own, w)
+        want = near_dedup.similarity(own, w, 0, 1)
+        assert abs((found[0] == found[1]).mean() - want) < 3.5 * (want * (1 - want) / found.shape[1]) ** 0.5 + 0.01
+
+
+def test_frequencies_of_common_shingles_are_exact(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) + (" a b c d e f" if i % 3 == 0 else "") + (" p q r s t" if i % 200 == 0 else "") for i in range(900)]
+    weights = near_dedup.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    own = near_dedup.Shingles(texts)
+    found, times = np.unique(own.hashes, return_counts=True)
+    want = {h: n for h, n in zip(found.tolist(), times.tolist()) if n >= 900 / near_dedup.RARE}
+    assert dict(zip(weights.hashes.tolist(), weights.frequency.tolist())) == want and weights.documents == 900 and len(want) >= 3
+
+
+def test_blocks_join_every_component_of_a_band(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    texts = corpus()
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame([(i, t, *[None] * 6) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == brute_classes(range(len(texts)), texts)
 
 
 def test_components(spark):
@@ -94,3 +114,6 @@ def test_cases(spark):
     out = sorted(((r.doc_id, r.class_id) for r in near_dedup.classes(documents(spark)).collect()), key=str)
     assert out == sorted([(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9), (None, None)], key=str)
     assert near_dedup.one_of_each(documents(spark)).count() == 10
+    extra = documents(spark).selectExpr("*", *(f"concat('v', doc_id) as `{n}`" for n in ["_text", "_key", "key", "row", "node", "low", "component", "_low"]))
+    kept = near_dedup.one_of_each(extra)
+    assert kept.columns == extra.columns and kept.count() == 10 and all(r.asDict()[n] == f"v{r.doc_id}" for r in kept.where("doc_id is not null").collect() for n in extra.columns[8:])
