@@ -47,13 +47,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, columns still pruned when read."""
+def written(df: DataFrame, name: str, bulky: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, lineage cut, columns still pruned when read.
+
+    Spark frees the disk of exchanges when the driver's garbage is collected; after one about as large as the input
+    (``bulky``) that isn't left to chance.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    gc.collect()  # the exchanges just read are no longer needed: let Spark's cleaner find out and free their disk
-    spark.sparkContext._jvm.System.gc()
+    if bulky:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out

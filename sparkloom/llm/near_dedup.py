@@ -286,27 +286,27 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) of different texts, keys of ``keyed``, and the verified links between them."""
     texts = keyed(documents.select("doc_id", "text")).select("key", "text")
     weights = fit(texts)
-    signed = written(signatures(texts, weights).groupBy("key").agg(F.first("samples").alias("samples")), "samples")
+    signed = written(signatures(texts, weights).groupBy("key").agg(F.first("samples").alias("samples")), "samples", bulky=True)
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("samples", i * ROWS + 1, ROWS)))).alias("band", "hash")
     posted = signed.select("key", band)
     # Joined as a table, so that the adaptive join can split a band with very many texts.
     full = written(posted.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "full")
-    shared = written(posted.join(full, ["band", "hash"]), "bands")
+    shared = written(posted.join(full, ["band", "hash"]), "bands", bulky=True)
 
     central = shared.groupBy("key").agg(F.sum(F.log2("n")).alias("weight"))
     centres = written(shared.join(central, "key").groupBy("band", "hash").agg(F.max(F.struct("weight", "key")).alias("c")).select("band", "hash", F.col("c.key").alias("u")), "centres")
     star = shared.join(centres, ["band", "hash"]).where("u <> key").select("u", F.col("key").alias("v")).distinct()
     pairs = written(star, "pairs")
-    some = written(texts.join(shared.select("key").distinct(), "key").dropDuplicates(["key"]), "texts")
-    first = written(verified(pairs, some, weights), "verified")
+    some = written(texts.join(shared.select("key").distinct(), "key").dropDuplicates(["key"]), "texts", bulky=True)
+    first = written(verified(pairs, some, weights), "verified", bulky=True)
     found = components(first)
 
     # Bands whose members are of several components: compare across components, block by block.
     label = shared.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "hash", "key", F.coalesce("component", "key").alias("component"))
     several = written(label.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hash"), "several")
     apart = written(label.join(several, ["band", "hash"]), "apart")
-    bag = written(bags(some.join(apart.select("key").distinct(), "key", "left_semi"), weights).join(signed, "key"), "bags")
-    second = written(joined_across(apart.join(bag, "key")), "verified")
+    bag = written(bags(some.join(apart.select("key").distinct(), "key", "left_semi"), weights).join(signed, "key"), "bags", bulky=True)
+    second = written(joined_across(apart.join(bag, "key")), "verified", bulky=True)
     every = first.unionByName(second)
     if not second.isEmpty():
         found = components(every)

@@ -103,14 +103,14 @@ def edges(documents: DataFrame, runs: DataFrame, size: int) -> DataFrame:
 def repeated_runs(documents: DataFrame, size: int) -> DataFrame:
     """(a, b, run) for every maximal path or single edge that occurs again, at its source coordinates."""
     spots = occurrences(documents, size)
-    live = written(spots.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branches")), "anchors")
-    met = written(spots.join(live, "anchor"), "paths")
+    live = written(spots.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branches")), "anchors", bulky=True)
+    met = written(spots.join(live, "anchor"), "paths", bulky=True)
     release(live)
     whole = met.where("not branches").select("a", "b", "run")
     branching = met.where("branches")
-    distinct = written(branching.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "run")).alias("one")), "branches")
+    distinct = written(branching.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "run")).alias("one")), "branches", bulky=True)
     again = branching.join(distinct.where("n > 1").select("anchor", "path"), ["anchor", "path"]).select("a", "b", "run")
-    apart = written(edges(documents, distinct.select("one.*", "anchor"), size), "edges")
+    apart = written(edges(documents, distinct.select("one.*", "anchor"), size), "edges", bulky=True)
     shared = apart.groupBy("anchor", "edge").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "edge")
     return whole.unionByName(again).unionByName(apart.join(shared, ["anchor", "edge"]).select("a", "b", "run"))
 

@@ -139,7 +139,7 @@ def write_tokens(documents: DataFrame, directory: str, tokenizer: str, end_id: i
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in (x.split() for x in INDEX.split(", "))]))
 
     ordered = with_text(documents).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return written(map_arrow(ordered.select("doc_id", "text"), write, INDEX), "token-index")
+    return written(map_arrow(ordered.select("doc_id", "text"), write, INDEX), "token-index", bulky=True)
 
 
 def read_tokens(index: DataFrame, schema: str, work) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparkloom.llm import lm_scoring
+from sparkloom.llm import common, lm_scoring
 from tests.llm.cases import SCHEMA, documents, empty
 
 
@@ -17,28 +17,32 @@ def corpus():
 
 def brute(data, good):
     words = [[w.lower() for w in (r[1] or "").split()] for r in data]
-    models = []
-    for k in range(2):
-        single, pair, n = Counter(), Counter(), 0
-        for r, w in zip(data, words):
-            if k or r[0] in good:
-                n += len(w)
-                single.update(["<s>", *w] if w else [])
-                pair.update(zip(["<s>", *w], w))
-        models.append((single, pair, n))
-    size = len({x for w in words for x in w}) + lm_scoring.CLASSES + 1
+    size = len({x for w in words for x in w}) + any(words)
     out = []
-    for r, w in zip(data, words):
+    for i, (own, w) in enumerate(zip(data, words)):
         losses = []
-        for k, (single, pair, n) in enumerate(models):
+        models = []
+        for k in range(2):
+            single, pair, n = Counter(), Counter(), 0
+            for j, (r, v) in enumerate(zip(data, words)):
+                if j != i and (k or r[0] in good):
+                    n += len(v)
+                    single.update(["<s>", *v] if v else [])
+                    pair.update(zip(["<s>", *v], v))
+            models.append((single, pair, n))
+        for single, pair, n in models:
             scale = models[0][2] / max(n, 1)
-            p = [(min(pair[a, b] * scale, single[a] * scale) + lm_scoring.PRIOR * (single[b] * scale + 1) / (models[0][2] + size)) / (single[a] * scale + lm_scoring.PRIOR) for a, b in zip(["<s>", *w], w)]
+            p = [(pair[a, b] * scale + lm_scoring.PRIOR * (single[b] * scale + 1) / (models[0][2] + size)) / (single[a] * scale + lm_scoring.PRIOR) for a, b in zip(["<s>", *w], w)]
             losses.append(-sum(map(math.log, p)) / len(p) if p else None)
-        out.append((r[0], len(w), losses[0], losses[1], losses[0] - losses[1] if w else None))
+        out.append((own[0], len(w), losses[0], losses[1], losses[0] - losses[1] if w else None))
     return out
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("chunk, bucket", [(1 << 24, 1 << 20), (200, 50)])
+def test_matches_brute_force(spark, monkeypatch, chunk, bucket):
+    for module in (lm_scoring, common):
+        monkeypatch.setattr(module, "CHUNK" if module is lm_scoring else "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
     data = corpus()
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, 200, 1) if i % 5] + [(1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     good = {i for i in range(200) if i % 5 and i % 2}
@@ -50,10 +54,10 @@ def test_matches_brute_force(spark):
     assert means[1] < 0 < means[0] - means[1] - 0.5
 
 
-def test_rare_words_share_classes(spark):
-    words = lm_scoring.vocabulary(spark.createDataFrame([("a a a b b c",)], "text string"), 2)
-    tokens = words.tokens(lm_scoring.Words([b"a b c d"]).hashes)
-    assert sorted(tokens[:2]) == [0, 1] and (tokens[2:] >= 2).all() and tokens.max() < words.start
+def test_counts_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    for x in (np.zeros(0, np.uint64), rng.integers(0, 1 << 64, 1000, dtype=np.uint64), rng.integers(0, 5, 77).astype(np.int64)):
+        assert (lm_scoring.unpacked(lm_scoring.packed(x)) == x).all()
 
 
 def test_cases(spark):
