@@ -47,6 +47,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner find out which exchanges nothing needs any more, and free their disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, bulky: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, columns still pruned when read.
 
@@ -57,8 +63,7 @@ def written(df: DataFrame, name: str, bulky: bool = False) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     if bulky:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        freed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out

@@ -25,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, ship, written
+from .common import chunks, freed, map_arrow, ship, written
 from .words import WORD_BASES, Words, mixed
 
 #: Weight of the unigram estimate in a bigram's, in tokens.
 PRIOR = 20.0
 #: Bytes of text of a chunk, about, and n-grams of a bucket, about.
 CHUNK, BUCKET = 1 << 24, 1 << 20
+#: Tokens of a partition in which documents are scored, about.
+TOKENS = 1 << 21
 #: The hash of what comes before a document's first word; it counts as a word.
 START = np.uint64(0x632BE59BD9B4E019)
 
@@ -174,10 +176,12 @@ def times(text: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 def losses(words: Words, target: np.ndarray, grams: np.ndarray, counts: np.ndarray, total: tuple[int, int], size: int) -> np.ndarray:
     """Target and background loss of each token in nats; each text is left out of the counts it is scored against."""
-    word, before, pair = (np.searchsorted(grams, x) for x in ngrams(words))
+    word, before, pair = ngrams(words)
+    first = before == START
+    some, at = np.unique(np.concatenate([word, pair]), return_inverse=True)
+    word, pair = np.split(np.searchsorted(grams, some)[at], 2)  # searched in order, which is quicker
+    before = np.where(first, np.searchsorted(grams, START), np.concatenate([word[:1], word[:-1]]))
     text = words.text_of()
-    first = np.zeros(len(text), bool)
-    first[words.bounds[:-1][words.counts > 0]] = True
     own_word, own_pair = times(text, word), times(text, pair)
     own_before = np.where(first, 1, np.concatenate([[1], own_word[:-1]]))
     n = np.stack([total[0] - words.counts * target, total[1] - words.counts])[:, text].astype(np.float64)
@@ -225,4 +229,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), *columns], [x.split()[0] for x in schema.split(", ")]))
         return pa.Table.from_batches(out)
 
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
+    freed(rows.sparkSession)
+    # As many partitions as the texts ask for, whatever the session says.
+    texts, own = (df.repartition(max(1, -(-total[1] // TOKENS)), "chunk") for df in (rows, answers.select("chunk", "bucket", "target", "background")))
+    return texts.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(work, schema)
