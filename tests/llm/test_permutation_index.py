@@ -44,3 +44,41 @@ def test_fewer_candidates_and_empty(spark):
     got = sorted(map(tuple, permutation_index.search(spark.createDataFrame(few, SCHEMA), F.col("vec_id") % 100 == 0).collect()))
     assert [r[:3] for r in got] == [(0, 1, 100), (0, 2, 7), (100, 1, 7), (100, 2, 0)]
     assert permutation_index.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_vectors_of_each_length_meet_their_own(spark):
+    rows = [(i, [float(i)] * (2 + i % 2), 1, 1, "x") for i in range(1, 40)] + [(100, [3.5, 3.5], 1, 1, "x")]
+    got = sorted(map(tuple, permutation_index.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 2).collect()))
+    assert [r[:3] for r in got] == [(20, 1, 18), (20, 2, 22), (100, 1, 4), (100, 2, 2)]
+
+
+def test_lists_give_the_footrule():
+    rng = np.random.default_rng(1)
+    x, pivots = rng.normal(size=(300, 8)), rng.normal(size=(90, 8))
+    order = permutation_index.orders(x, pivots)
+    m = order.shape[1]
+    posted = {}
+    for p, (rows, places) in enumerate(permutation_index.lists(order, 90)):
+        posted[p] = np.zeros(300, np.uint8)
+        posted[p][rows] = m - places
+    place = np.full((300, 90), m)
+    for i, o in enumerate(order):
+        place[i, o] = np.arange(m)
+    for i in range(0, 300, 37):
+        footrule = np.abs(place - place[i]).sum(1)
+        assert (m * (m + 1) - 2 * permutation_index.agreement(posted, order[i], 300).astype(int) == footrule).all()
+
+
+def test_recall_on_a_hundred_thousand_vectors_without_structure(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("vec_id"), F.array(*(F.randn(i).cast("float") for i in range(64))).alias("embedding")).toArrow()
+    x = rows.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, 64).astype(float)
+    got = {}
+    for r in permutation_index.search(spark.createDataFrame(rows), F.col("vec_id") % 1000 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, 100_000, 1000):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.argpartition(d, 10)[:10].tolist()))
+    print("recall", hits / 1000)
+    assert hits >= 0.9 * 1000
