@@ -23,7 +23,7 @@ UNKNOWN = "und"
 #: Hashed n-grams of 1 to 3 characters of the words fall into so many columns.
 WIDTH = 1 << 12
 #: Learning documents of a language from which its centroids come, at most; the ones with the smallest hashes of doc_id.
-SAMPLE = 1000
+SAMPLE, OVERSHOOT = 1000, 8
 CENTROIDS, ROUNDS = 4, 8
 #: A text is rejected if its distance (1 - cosine) exceeds FACTOR times the distance that QUANTILE of the sampled
 #: texts of its language and length class keep. Short texts are far from every centroid, so each class has a radius
@@ -134,9 +134,14 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     found = {r["at"]: r["n"] for r in map_arrow(learn.select("text"), frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}  # WIDTH + 1 rows
     idf = np.log((1 + found.get(-1, 0)) / (1 + np.array([found.get(k, 0) for k in range(WIDTH)]))).astype(np.float32) + 1
 
-    # The smallest hashes are found on ids alone; a limit for each group is applied before and after the exchange.
+    # The smallest hashes are found on ids alone. So that a frequent language doesn't meet in one task, only hashes below a
+    # bound that OVERSHOOT times ``sample`` of its ids can be expected to keep are ranked; that fewer than ``sample`` do
+    # has no chance worth the name (a Poisson variable of mean 8,000 below 1,000).
+    ids = learn.select("lang", "doc_id").distinct()
+    share = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    bounds = ids.groupBy("lang").agg((F.lit(float(OVERSHOOT * sample)) / F.count("*")).alias("bound"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = learn.select("lang", "doc_id").distinct().withColumn("k", rank).where(F.col("k") <= sample).select("lang", "doc_id")
+    chosen = ids.join(bounds, "lang").where(share <= F.col("bound")).withColumn("k", rank).where(F.col("k") <= sample).select("lang", "doc_id")
     picked = learn.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most ``sample`` ids for each language
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,3 +47,43 @@ def test_cases(spark):
     assert language_id.classify(empty(spark)).count() == 0
     out = language_id.classify(documents(spark)).collect()
     assert len(out) == 12 and {r.lang_pred for r in out} == {"en", "und"}
+
+
+def brute_counts(text):
+    chars = language_id.WORDLESS.sub(" ", f" {text.lower()} ") + "\n"
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            key = 0
+            for k, c in enumerate(chars[i : i + n]):
+                key = (key * language_id.MULTIPLIERS[k] + ord(c) + k + 1) % 2**64
+            at = key * language_id.MULTIPLIERS[0] % 2**64 >> 52
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_predictions_match_brute_force(spark):
+    """Document frequencies, cosines and the nearest centroid, one text and one n-gram at a time."""
+    data = corpus()
+    model = language_id.fit(spark.createDataFrame(data, SCHEMA))
+    learn = [r[1] for r in data if r[1] is not None and r[2] is not None and not language_id_held(r[0])]
+    seen = [brute_counts(t) for t in learn]
+    df = {}
+    for c in seen:
+        for at in c:
+            df[at] = df.get(at, 0) + 1
+    idf = [np.log((1 + len(learn)) / (1 + df.get(k, 0))) + 1 for k in range(language_id.WIDTH)]
+    assert np.allclose(idf, model.idf, atol=1e-5)
+    got = {r.doc_id: r for r in language_id.classify(spark.createDataFrame(data, SCHEMA), model).collect()}
+    for i, text, *_ in data[:60]:
+        x = {at: np.log1p(n) * idf[at] for at, n in brute_counts(text).items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        cosines = [sum(v * c[at] for at, v in x.items()) / norm for c in model.centres]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(got[i].score - cosines[best]) < 1e-4 and got[i].lang_pred == model.languages[best]
+
+
+def test_a_frequent_language_gives_just_its_sample(spark):
+    rows = spark.createDataFrame([(i // 3, f"the of and w{i // 3}", "en" if i % 40 else "de", "s", 1, "x", 1, 1) for i in range(6000)], SCHEMA)
+    model = language_id.fit(rows, sample=20)
+    assert set(model.languages) == {"en", "de"} and (model.radius.shape == (len(model.languages), language_id.CLASSES))
