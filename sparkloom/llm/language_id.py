@@ -45,17 +45,16 @@ def plain(text: str) -> str:
 def counts(texts: list[str]) -> np.ndarray:
     """Texts by columns: how often each hashed n-gram occurs."""
     lowered = [plain(x) for x in texts]
-    chars = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(x) + 1 for x in lowered])
-    row = np.repeat(np.arange(len(texts)), sizes) * WIDTH
+    # Two line ends close a text, and no n-gram begins at one: so none holds anything of the next text.
+    chars = np.frombuffer("\n\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begins = np.flatnonzero(chars != 10)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in lowered]) * WIDTH
     out = np.zeros(len(texts) * WIDTH, np.int64)
     key = np.zeros(len(chars), np.uint64)
-    for n, m in enumerate(MULTIPLIERS):  # over a text's end an n-gram holds the line end that closes it
-        size = len(chars) - n
-        if size > 0:
-            key = key[:size] * np.uint64(m) + chars[n:] + np.uint64(n + 1)
-            at = (key * np.uint64(MULTIPLIERS[0]) >> np.uint64(52)).astype(np.int64)
-            out += np.bincount(row[:size] + at, minlength=len(out))
+    for n, m in enumerate(MULTIPLIERS):
+        key = key[: len(chars) - n] * np.uint64(m) + chars[n:] + np.uint64(n + 1)
+        at = (key[begins] * np.uint64(MULTIPLIERS[0]) >> np.uint64(52)).astype(np.int64)
+        out += np.bincount(row + at, minlength=len(out))
     return out.reshape(len(texts), WIDTH)
 
 

@@ -50,10 +50,10 @@ def test_cases(spark):
 
 
 def brute_counts(text):
-    chars = language_id.WORDLESS.sub(" ", f" {text.lower()} ") + "\n"
+    chars = language_id.WORDLESS.sub(" ", f" {text.lower()} ") + "\n\n"
     out = {}
     for n in (1, 2, 3):
-        for i in range(len(chars) - n + 1):
+        for i in range(len(chars) - 2):
             key = 0
             for k, c in enumerate(chars[i : i + n]):
                 key = (key * language_id.MULTIPLIERS[k] + ord(c) + k + 1) % 2**64
