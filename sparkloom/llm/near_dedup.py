@@ -4,8 +4,8 @@ A document's shingles of five words weigh their count times a damped inverse doc
 with a probability equal to the weighted Jaccard similarity fall into bands; documents with an equal band are
 candidates, and the weighted Jaccard similarity itself decides. Classes are connected components of verified links.
 
-A weight is a shingle's count times one plus its inverse document frequency, as a share of the largest there can be:
-ln((documents + 1) / frequency) / ln(RARE), at most 1. So shingles of fewer than one in RARE documents weigh most and all
+A weight is a shingle's count times one plus LARGEST times its inverse document frequency, as a share of the largest there
+can be: ln((documents + 1) / frequency) / ln(RARE), at most 1. So shingles of fewer than one in RARE documents weigh most and all
 alike, at any size of the corpus, and only frequent ones need a count of their own. Their number is bounded by RARE and the mean
 number of shingles, so the table of their exact frequencies is small. It is found in two passes: a count-min sketch,
 which never falls short, screens shingles, and those that pass are counted exactly. One is added because the bare
@@ -39,7 +39,7 @@ WORD = r"[^\x20\x09-\x0D]"
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**14 = 0.9994.
 BANDS, ROWS = 14, 4
 #: Shingles of fewer than one in so many documents have the largest inverse document frequency; and what that adds to one.
-RARE, LARGEST = 256, 1.0
+RARE, LARGEST = 256, 0.5
 #: Rows and cells of the count-min sketch. A cell holds a few thousandths of all documents, whatever their number.
 SKETCH_ROWS, SKETCH_CELLS = 3, 1 << 18
 #: Texts of different components must agree on this share of samples before their shingles are compared. At similarity
@@ -82,6 +82,7 @@ class Weights:
     documents: int
     hashes: np.ndarray  # of the frequent shingles, sorted
     frequency: np.ndarray
+    largest: float = LARGEST
 
     def of(self, shingles: Shingles) -> np.ndarray:
         idf = np.ones(len(shingles.hashes))
@@ -89,7 +90,7 @@ class Weights:
             at = np.minimum(np.searchsorted(self.hashes, shingles.hashes), len(self.hashes) - 1)
             known = self.hashes[at] == shingles.hashes
             idf[known] = np.clip(np.log((self.documents + 1) / self.frequency[at[known]]) / np.log(RARE), 0, 1)
-        return (shingles.counts * (1 + LARGEST * idf)).astype(np.float32)
+        return (shingles.counts * (1 + self.largest * idf)).astype(np.float32)
 
 
 def sketched(documents: DataFrame) -> tuple[np.ndarray, int]:

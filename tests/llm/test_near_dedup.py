@@ -12,7 +12,7 @@ def weighted(texts):
     for h in own.hashes.tolist():
         df[h] = df.get(h, 0) + 1
     n = int((np.diff(own.bounds) > 0).sum())
-    w = own.counts * (1 + np.clip(np.log((n + 1) / np.array([df[h] for h in own.hashes.tolist()])) / np.log(near_dedup.RARE), 0, 1))
+    w = own.counts * (1 + near_dedup.LARGEST * np.clip(np.log((n + 1) / np.array([df[h] for h in own.hashes.tolist()])) / np.log(near_dedup.RARE), 0, 1))
     return [dict(zip(own.hashes[a:b].tolist(), w[a:b])) for a, b in zip(own.bounds, own.bounds[1:])]
 
 
