@@ -22,10 +22,15 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+#: Workers live on from task to task: what they free goes back to the system instead of being kept for later.
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 22), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver was started from another folder."""
+    """Let Python workers import this package when the driver was started from another folder, and keep little memory."""
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
+    environment.update({k: v for k, v in WORKERS.items() if k not in environment})
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
