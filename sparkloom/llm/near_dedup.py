@@ -311,7 +311,7 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = first.unionByName(second)
     if not second.isEmpty():
         found = components(every)
-    release(full, shared, centres, several, apart, bag, some)
+    release(signed, pairs, full, shared, centres, several, apart, bag, some)
     return found, every
 
 
@@ -327,7 +327,7 @@ def classes(documents: DataFrame) -> DataFrame:
     with_words = rows.where("not wordless").select("doc_id", "node")
     lowest = with_words.groupBy("node").agg(F.min("doc_id").alias("low")).join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lowest = written(lowest, "lowest")
-    named = written(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id"), "named")
+    named = written(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id"), "named", bulky=True)
     return with_words.join(named, "node").select("doc_id", "class_id").unionByName(rows.where("wordless").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
@@ -339,7 +339,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     has_words = F.col("text").rlike(WORD)
     lowest = rows.where(has_words).groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("low"))
     best = lowest.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("b"))
-    chosen = written(best.select(F.col("b.node").alias("node"), F.col("b.low").alias("low")), "chosen")
+    chosen = written(best.select(F.col("b.node").alias("node"), F.col("b.low").alias("low")), "chosen", bulky=True)
     # The id is part of the join key, so the copies of one text don't meet in one task.
     same = (F.col("key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("low"))
     kept = rows.where(has_words).join(chosen, same).dropDuplicates(["key", "doc_id"])
