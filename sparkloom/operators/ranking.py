@@ -130,3 +130,9 @@ def evicted(scope: DataFrame, anchors: DataFrame, key: str, cap: int, quota: int
     own = scope.select(key, "rank").join(anchors.select(key).distinct().withColumn("a", F.lit(0)), key, "left").select(key, F.coalesce("a", F.lit(1)).alias("late"), F.col("rank").alias("place"))
     kept = ranked(own.unionByName(missing), [F.asc("late"), F.asc("place"), F.asc(key)], name="n").where(F.col("n") <= cap)
     return kept.select(key, F.col("n").alias("rank"))
+
+
+def best_of_each(df: DataFrame, method: str, score: str, key: str, n: int = 2) -> DataFrame:
+    """The n best rows of different methods; where there are fewer methods, the best of the other rows fill up."""
+    own = F.row_number().over(Window.partitionBy(method).orderBy(F.desc(score), key))
+    return df.withColumn("_own", own).orderBy(F.col("_own") > 1, F.desc(score), method, key).limit(n).drop("_own")

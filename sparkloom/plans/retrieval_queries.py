@@ -228,3 +228,13 @@ query(f"SELECT round(0.4 * r + 0.3 * r + 0.2 * h + 0.1 * n, 6) AS score FROM (SE
 query(f"SELECT count(*) AS queries, round(avg({HITS} / len(wanted)), 6) AS recall, round(avg(CASE WHEN q % 2 = 0 THEN {NDCG} END), 6) AS ndcg FROM {RUNS}", "agg_mean_metrics")(
     lambda t: runs(t).agg(F.count("*").alias("queries"), F.round(F.avg(N.recall_at(F.col("found"), F.col("wanted"), 5)), 6).alias("recall"), F.round(F.avg(F.when(F.col("q") % 2 == 0, N.ndcg_at(F.col("found"), F.col("wanted"), 5))), 6).alias("ndcg"))
 )
+
+
+@query("""SELECT method, config, score FROM (
+    SELECT o_orderpriority AS method, o_orderstatus AS config, max(o_totalprice) AS score,
+        row_number() OVER (PARTITION BY o_orderpriority ORDER BY max(o_totalprice) DESC, o_orderstatus) AS own
+    FROM orders GROUP BY 1, 2) ORDER BY own > 1, score DESC, method, config LIMIT 2""")
+def topk_select_phase1(t: Tables) -> DataFrame:
+    """The two best configurations of different methods: priorities stand for methods, states for configurations."""
+    scored = t.orders.groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("config")).agg(F.max("o_totalprice").alias("score"))
+    return ranking.best_of_each(scored, "method", "score", "config")

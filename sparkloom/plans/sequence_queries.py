@@ -218,13 +218,11 @@ query("SELECT doc_id, 'text' AS kind, len(string_split(text, chr(10)))::BIGINT A
 @query("SELECT doc_id AS chunk_id, source FROM documents")
 def sink_publish_generation(t: Tables) -> DataFrame:
     """Publish a first generation and a second that replaces one source, and read what is live."""
-    import tempfile
     import uuid
 
     from ..sources import index_store
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    root = f"{shared}/index-{uuid.uuid4().hex}"
+    root = f"{index_store.shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
     rows = t.documents.select(F.col("doc_id").alias("chunk_id"), "source")
     index_store.publish(rows, root)
     index_store.publish(index_store.replaced(index_store.current(t.spark, root), rows.where("source = 'src1'"), ["source"]), root)

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 MANIFEST = "generation long, path string, rows long, digest string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session without one, as in tests, gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        import tempfile
+
+        named = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return named.rstrip("/")
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """All published generations; an index without any has none."""
     jvm = spark.sparkContext._jvm

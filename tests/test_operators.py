@@ -90,3 +90,12 @@ def test_streams(spark, tmp_path):
     assert sorted((r.n, r.rate) for r in spark.table("t_rate").collect()) == [(10, 0.5)] * 3
     assert {(r.user_id, r.n) for r in spark.table("t_sessions").collect()} == {(0, 10), (1, 10), (2, 10)}
     assert spark.table("t_once").count() == 3
+
+
+def test_best_of_each_takes_methods_first_and_fills_up(spark):
+    rows = [("a", "x", 9), ("a", "y", 8), ("b", "x", 3), ("b", "z", 7), ("a", "w", 8)]
+    df = spark.createDataFrame(rows, "method string, config string, score int")
+    assert [tuple(r) for r in ranking.best_of_each(df, "method", "score", "config").collect()] == [("a", "x", 9), ("b", "z", 7)]
+    assert [tuple(r) for r in ranking.best_of_each(df.where("method = 'a'"), "method", "score", "config").collect()] == [("a", "x", 9), ("a", "w", 8)]
+    assert [r.config for r in ranking.best_of_each(df, "method", "score", "config", 4).collect()] == ["x", "z", "w", "y"]
+    assert ranking.best_of_each(df.limit(0), "method", "score", "config").count() == 0
