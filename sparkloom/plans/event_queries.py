@@ -206,8 +206,4 @@ query("SELECT doc_id, i AS page, row_number() OVER (PARTITION BY doc_id ORDER BY
 query("SELECT event_id, json_extract_string(props, '$.k') AS caption FROM events", "scan_image_texts")(lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").alias("caption")))
 query("SELECT doc_id, CASE WHEN source <> 'src0' THEN concat(lang, ' > ', source) END AS heading FROM documents", "scan_page_meta")(lambda t: t.documents.select("doc_id", F.when(F.col("source") != "src0", F.array_join(F.array("lang", "source"), " > ")).alias("heading")))
 query("SELECT doc_id FROM documents WHERE NOT (source = 'src3' AND doc_id % 2 = 0)", "sink_delete_scope")(lambda t: t.documents.select("doc_id").join(t.documents.where("source = 'src3' AND doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti"))
-UPSERT = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents"
-upsert = lambda t: ranking.latest(t.documents.select("doc_id", F.lit(1).alias("version")).unionByName(t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("version"))), ["doc_id"], [F.desc("version")]).select("doc_id", "version")
-for name in ("sink_bm25_upsert", "sink_docs_to_bm25", "sink_vector_upsert", "mem_set_service"):
-    query(UPSERT, name)(upsert)
 query("SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents WHERE source IN ('src1', 'src2') GROUP BY source", "sink_meeting_export")(lambda t: t.documents.where("source IN ('src1', 'src2')").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("body")))

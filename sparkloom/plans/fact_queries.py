@@ -77,7 +77,6 @@ def page(rows: DataFrame, k: int) -> DataFrame:
 query("SELECT o_orderkey FROM orders ORDER BY (o_orderkey % 5) DESC, o_totalprice DESC, o_orderkey LIMIT 30", "topk_important_memories")(lambda t: t.orders.orderBy((F.col("o_orderkey") % 5).desc(), F.desc("o_totalprice"), "o_orderkey").limit(30).select("o_orderkey"))
 query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'", "mem_active_users")(lambda t: t.orders.where(F.col("o_orderdate") >= at("2001-01-01")).select("o_custkey").distinct())
 query(f"SELECT k, id FROM {VERSIONS} WHERE status = 'F' AND valid_from <= TIMESTAMP '{AS_OF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}')", "filter_memory_active")(lambda t: versions(t).where((F.col("status") == "F") & (F.col("valid_from") <= at(AS_OF)) & (F.col("valid_to").isNull() | (F.col("valid_to") > at(AS_OF)))).select("k", "id"))
-query(f"SELECT k, id, valid_to IS NOT NULL AS superseded FROM {VERSIONS}", "mem_supersede")(lambda t: versions(t).select("k", "id", F.col("valid_to").isNotNull().alias("superseded")))
 
 # Scopes.
 SCOPED = "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_suppkey IN (1, 2, 3)){}"
@@ -193,7 +192,6 @@ query(f"SELECT DISTINCT (CASE WHEN s IN (2, 3) THEN 1 ELSE s END)::BIGINT AS s,
 query(None, "kg_merge_whole")(lambda t: merged(edges(t)))
 query(f"SELECT DISTINCT (s % 10)::BIGINT AS s, p FROM {EDGES}", "set_entity_merge")(lambda t: edges(t).select((F.col("s") % 10).alias("s"), "p").distinct())
 query("SELECT l_suppkey, count(*) AS mentions, min(l_orderkey) AS first, max(l_orderkey) AS last, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS aliases FROM lineitem GROUP BY l_suppkey", "agg_entity_upsert")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("mentions"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("aliases")))
-query("SELECT l_suppkey, l_partkey, round(least(greatest(arg_max(l_discount, (l_orderkey, l_linenumber, l_discount)) * 10, 0), 1), 6)::DOUBLE AS confidence FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY ALL", "agg_relation_upsert")(lambda t: t.lineitem.where("l_suppkey <> l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.round(N.clamped(F.max_by("l_discount", F.struct("l_orderkey", "l_linenumber", "l_discount")) * 10), 6).alias("confidence")))
 query("SELECT l_suppkey, count(*) AS mentions FROM lineitem GROUP BY l_suppkey ORDER BY mentions DESC, l_suppkey LIMIT 20", "kg_list_entities")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "l_suppkey").limit(20))
 query(f"SELECT s, concat(s, ' supplies ', string_agg(p, ', ' ORDER BY p)) AS line FROM (SELECT * FROM {EDGES} WHERE s <= 5 QUALIFY row_number() OVER (PARTITION BY s ORDER BY p) <= 4) GROUP BY s", "kg_entity_context")(
     lambda t: ranking.top_per(edges(t).where("s <= 5"), ["s"], [F.asc("p")], 4).groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("ps")).select("s", F.concat(F.col("s").cast("string"), F.lit(" supplies "), F.array_join(F.transform("ps", lambda x: x.cast("string")), ", ")).alias("line"))

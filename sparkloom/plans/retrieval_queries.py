@@ -191,18 +191,12 @@ query(f"SELECT file, max(doc_id) AS newest, 0.1::DOUBLE AS score FROM (SELECT *
 query(f"SELECT meeting, doc_id, score FROM {POOL} WHERE meeting IN ('src1', 'src2') AND file IN (1, 2, 3)", "filter_restrict_pool")(lambda t: pool(t).where(F.col("meeting").isin("src1", "src2") & F.col("file").isin(1, 2, 3)).select("meeting", "doc_id", "score"))
 query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') AND lang IN ('en', 'fr') AND n_chars BETWEEN 500 AND 5000", "filter_metadata_where")(lambda t: t.documents.where(F.col("source").isin("src1", "src2") & F.col("lang").isin("en", "fr") & F.col("n_chars").between(500, 5000)).select("doc_id", "source"))
 query(f"SELECT string_agg(file, ',' ORDER BY first) AS files FROM (SELECT file, min(r) AS first FROM (SELECT file, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM {HEAD}) WHERE r <= 20 GROUP BY file)", "project_anchor_ids")(lambda t: ranking.top(head(t), order(), 20).groupBy("file").agg(F.min("rank").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "file"))), lambda x: x["file"].cast("string")), ",").alias("files")))
-for name, k in {"set_dedup_best_score": 0, "set_merge_vector_hops": 1, "set_scoped_multi_query": 2}.items():
-    query(f"SELECT text_key, max(score) AS score FROM (SELECT substr(sha256(text), 1, 16) AS text_key, (doc_id * {k * 2 + 3} % 101)::DOUBLE AS score FROM documents) GROUP BY text_key", name)(
-        lambda t, k=k: t.documents.select(F.substring(F.sha2("text", 256), 1, 16).alias("text_key"), (F.col("doc_id") * (k * 2 + 3) % 101).cast("double").alias("score")).groupBy("text_key").agg(F.max("score").alias("score"))
-    )
+query("SELECT text_key, max(score) AS score FROM (SELECT substr(sha256(text), 1, 16) AS text_key, (doc_id * 3 % 101)::DOUBLE AS score FROM documents) GROUP BY text_key", "set_dedup_best_score")(
+    lambda t: t.documents.select(F.substring(F.sha2("text", 256), 1, 16).alias("text_key"), (F.col("doc_id") * 3 % 101).cast("double").alias("score")).groupBy("text_key").agg(F.max("score").alias("score"))
+)
 query("SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY source, lang", "set_merge_multimodal")(lambda t: ranking.latest(t.documents.select("source", "lang", "doc_id"), ["source", "lang"], [F.asc("doc_id")]).select("source", "lang", F.col("doc_id").alias("first")))
 query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = d.doc_id AND o.doc_id % 2 = 0 AND sha256(o.text) = sha256(d.text))", "set_skip_unchanged")(lambda t: t.documents.select("doc_id", F.sha2("text", 256).alias("h")).join(t.documents.where("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("h")), ["doc_id", "h"], "left_anti").select("doc_id"))
 query("SELECT source, sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2", "set_file_create_if_absent")(lambda t: t.documents.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")))
-NEAR = r"SELECT min(doc_id) AS kept, count(*) AS copies FROM (SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')) AS k FROM documents) GROUP BY k"
-near = lambda t: t.documents.groupBy(F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("k")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).select("kept", "copies")
-query(NEAR, "set_pre_rerank_dedup")(near)
-query(NEAR + " HAVING count(*) > 1", "set_near_duplicate")(lambda t: near(t).where("copies > 1"))
-
 # Evaluation: ten nearest of each query vector, wanted are those of its label among them by another measure.
 RUNS = "(SELECT o_custkey AS q, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS found, list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus = 'F') AS wanted FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') > 0)"
 

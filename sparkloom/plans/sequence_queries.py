@@ -167,9 +167,6 @@ COS = "list_sum([x[1]::DOUBLE * x[2]::DOUBLE for x in list_zip(embedding, q)]) /
 WEIGHTED = f"SELECT vec_id, label::BIGINT AS label, round(w, 6) AS score, row_number() OVER (ORDER BY w DESC, vec_id) AS rank FROM (SELECT vec_id, label, round(0.35 * least(greatest({COS}, 0), 1) + 0.15 * exp(-0.01 * (vec_id % 90)) + 0.25 * (label % 5) / 4.0 + 0.15 * 0.8 + 0.10 * 0.5, 9) AS w FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0) QUALIFY rank <= 20"
 query(WEIGHTED, "mem_semantic_search")(weighted)
 query(f"SELECT label, min(rank) AS best, count(*) AS n FROM ({WEIGHTED}) GROUP BY label", "mem_session_search")(lambda t: weighted(t).groupBy("label").agg(F.min("rank").alias("best"), F.count("*").alias("n")))
-query(f"WITH s AS ({WEIGHTED}) SELECT e.vec_id FROM embeddings e WHERE e.label IN (SELECT label FROM s WHERE rank <= 2) AND e.vec_id NOT IN (SELECT vec_id FROM s) ORDER BY e.vec_id LIMIT 5", "mem_multi_hop")(
-    lambda t: t.embeddings.join(weighted(t).where("rank <= 2").select("label").distinct(), "label", "left_semi").join(weighted(t).select("vec_id"), "vec_id", "left_anti").orderBy("vec_id").limit(5).select("vec_id")
-)
 query("SELECT file FROM (SELECT doc_id % 37 AS file FROM documents GROUP BY 1) WHERE file % 5 <> 0", "sink_atomic_file_replace")(lambda t: by_file(t).select("file").where("file % 5 <> 0"))
 
 
