@@ -209,7 +209,9 @@ def runs(t: Tables) -> DataFrame:
 HITS = "len(list_filter(list_slice(found, 1, 5), lambda x: list_contains(wanted, x)))"
 metric = lambda f: lambda t: runs(t).select("q", F.round(f(F.col("found"), F.col("wanted")), 6).alias("value"))
 query(f"SELECT q, round({HITS} / len(wanted), 6) AS value FROM {RUNS}", "math_recall_at_k")(metric(lambda f, w: N.recall_at(f, w, 5)))
-query(f"SELECT q, round({HITS} / least(5, len(found)), 6) AS value FROM {RUNS}", "math_file_precision_recall")(metric(lambda f, w: N.precision_at(f, w, 5)))
+query(f"SELECT q, round({HITS} / least(5, len(found)), 6) AS value, round({HITS} / len(wanted), 6) AS recall FROM {RUNS}", "math_file_precision_recall")(
+    lambda t: runs(t).select("q", F.round(N.precision_at(F.col("found"), F.col("wanted"), 5), 6).alias("value"), F.round(N.recall_at(F.col("found"), F.col("wanted"), 5), 6).alias("recall"))
+)
 query(f"SELECT q, round(1.0 / list_min([i for i in range(1, len(found) + 1) if list_contains(wanted, found[i])]), 6)::DOUBLE AS value FROM {RUNS}", "math_mrr")(metric(N.reciprocal_rank))
 NDCG = "list_sum([CASE WHEN list_contains(wanted, found[i]) THEN 1 / log2(i + 1) ELSE 0 END for i in range(1, least(5, len(found)) + 1)]) / list_sum([1 / log2(i + 1) for i in range(1, least(5, len(wanted)) + 1)])"
 query(f"SELECT q, round({NDCG}, 6) AS value FROM {RUNS}", "math_ndcg")(metric(lambda f, w: N.ndcg_at(f, w, 5)))

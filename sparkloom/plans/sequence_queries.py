@@ -52,18 +52,43 @@ of_texts("str_speaker_extract", "doc_id long, names string", lambda i, x: [(i, "
 of_texts("date_historical_cutoffs", "doc_id long, cutoffs string", lambda i, x: [(i, "|".join(Q.historical_cutoffs(f"as of 2024-01-{i % 28 + 1:02d} {x}")))])
 of_texts("str_rouge_l", "doc_id long, f1 double", lambda i, x: [(i, round(Q.rouge_l(" ".join(x.split()[:-5]), " ".join(x.split()[5:])), 6))])
 of_texts("str_snapshot_compare", "doc_id long, covered boolean", lambda i, x: [(i, Q.snapshot_covered(x, " ".join(x.split()[::2])))])
-HOURS = ["first 5 minutes", "last half an hour", "at the start", "nothing"]
-query("SELECT conv_id, turn, ['seconds', 'seconds', 'ratio', NULL][(turn % 4 + 1)::INT] AS kind, [0.0, -1800.0, 0.0, NULL][(turn % 4 + 1)::INT]::DOUBLE AS low, [300.0, 0.0, 0.25, NULL][(turn % 4 + 1)::INT]::DOUBLE AS high FROM conversations", "date_temporal_hint")(
-    lambda t: mapped(t.conversations.select("conv_id", "turn"), "conv_id long, turn long, kind string, low double, high double", lambda c, k: [(c, k, *(Q.temporal_hint(HOURS[k % 4]) or (None, None, None)))])
-)
-ZH = ["十二", "两百三十五", "一万零五", "三点五", "x"]
-query("SELECT conv_id, turn, [12.0, 235.0, 10005.0, 3.5, NULL][(turn % 5 + 1)::INT]::DOUBLE AS n FROM conversations", "date_zh_number")(lambda t: mapped(t.conversations.select("conv_id", "turn"), "conv_id long, turn long, n double", lambda c, k: [(c, k, Q.zh_number(ZH[k % 5]))]))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 4 = 2 THEN 'ratio' ELSE 'seconds' END AS kind,
+    CASE turn % 4 WHEN 0 THEN 0.0 WHEN 1 THEN -3600.0 * length(text) WHEN 2 THEN 0.75 END::DOUBLE AS low,
+    CASE turn % 4 WHEN 0 THEN 60.0 * length(text) WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END::DOUBLE AS high FROM conversations""")
+def date_temporal_hint(t: Tables) -> DataFrame:
+    """The span that a question names; the questions ask for as many minutes or hours as a turn has characters."""
+    n = F.length("text").cast("string")
+    kinds = [F.concat(F.lit("what was said in the first "), n, F.lit(" minutes?")), F.concat(F.lit("the last "), n, F.lit(" hours")), F.lit("at the end of it"), n]
+    asked = t.conversations.select("conv_id", "turn", F.get(F.array(*kinds), F.col("turn") % 4).alias("question"))
+    return mapped(asked, "conv_id long, turn long, kind string, low double, high double", lambda c, k, q: [(c, k, *(Q.temporal_hint(q) or (None, None, None)))])
+
+
+@query("SELECT event_id, CASE WHEN user_id % 100 > 0 THEN (user_id % 100 * 10000 + event_id % 10)::DOUBLE END AS n FROM events")
+def date_zh_number(t: Tables) -> DataFrame:
+    """Numerals read back: ten thousands from the user, ones from the event, written with their gap of zeros."""
+    digit = lambda c: F.get(F.split(F.lit("零,一,二,三,四,五,六,七,八,九"), ","), c.cast("int"))
+    high, low = F.col("user_id") % 100, F.col("event_id") % 10
+    tens = F.when(high >= 10, F.concat(F.when(high >= 20, digit(F.floor(high / 10))).otherwise(F.lit("")), F.lit("十"))).otherwise(F.lit(""))
+    ones = F.when(high % 10 > 0, digit(high % 10)).otherwise(F.lit(""))
+    said = F.when(high > 0, F.concat(tens, ones, F.lit("万"), F.when(low > 0, F.concat(F.lit("零"), digit(low))).otherwise(F.lit("")))).otherwise("x")
+    return mapped(t.events.select("event_id", said.alias("said")), "event_id long, n double", lambda i, s: [(i, Q.zh_number(s))])
+
+
 query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", "json_llm_parse")(
     lambda t: mapped(t.events.select("event_id", "props"), "event_id long, answer string", lambda i, p: [(i, Q.parsed_json(f"```json\n{p}\n```" if i % 2 else f"Here it is: {p} as asked"))]).select("event_id", F.get_json_object("answer", "$.k").cast("bigint").alias("k"))
 )
-query("SELECT event_id, event_id % 3 = 0 AS worse FROM events", "json_flatten_metrics")(
-    lambda t: mapped(t.events.select("event_id"), "event_id long, worse boolean", lambda i: [(i, bool(Q.regressions({"m": {"latency": 1.0, "recall": 0.8}}, {"m": {"latency": 1.2 if i % 3 == 0 else 1.0, "recall": 0.8}})))])
-)
+
+
+@query("""SELECT event_id, concat_ws(',', CASE WHEN (value = 0 AND k <> 0) OR (value <> 0 AND (k - value) / abs(value) > 0.05) THEN 'm.latency' END, CASE WHEN k <> 0 AND (k - value) / abs(k) > 0.05 THEN 'm.recall' END) AS worse
+    FROM (SELECT event_id, value, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)""")
+def json_flatten_metrics(t: Tables) -> DataFrame:
+    """Metrics that got worse between two payloads: a latency from the value to k, a recall the other way."""
+    pairs = t.events.select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return mapped(pairs, "event_id long, worse string", lambda i, v, k: [(i, ",".join(Q.regressions({"m": {"latency": v, "recall": k}}, {"m": {"latency": k, "recall": v}})))])
+
+
 query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", "scan_json_pretty")(lambda t: mapped(t.events.select("event_id", "props"), "event_id long, pretty string", lambda i, p: [(i, Q.pretty_json(p))]).select("event_id", F.get_json_object("pretty", "$.k").cast("bigint").alias("k")))
 query(None, "scan_html_visible_text")(lambda t: t.pages.select("page_id", files.visible(F.col("html")).alias("text")))
 query("SELECT doc_id, md5(text) AS text FROM documents", "scan_text_file")(lambda t: mapped(t.documents.select("doc_id", F.encode("text", "utf-8").alias("d")), "doc_id long, text string", lambda i, d: [(i, files.decoded(bytes(d)))]).select("doc_id", F.md5("text").alias("text")))
