@@ -1,4 +1,4 @@
 """Query plans over the driver's tables; importing the modules registers them."""
 
-from . import event_queries, fact_queries, index_queries, retrieval_queries, sequence_queries, text_queries  # noqa: F401
+from . import event_queries, fact_queries, index_queries, retrieval_queries, sequence_queries, service_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -59,9 +59,6 @@ query("SELECT count(*) AS n FROM documents WHERE source IN ('src1', 'src2')", "a
 query("SELECT round(1 - avg((event_type = 'error')::INT), 6) AS availability, 1 - avg((event_type = 'error')::INT) >= 0.995 AS available, quantile_cont(value, 0.95) < 3 AS fast, CASE WHEN count(*) < 100 THEN NULL ELSE 1 - avg((event_type = 'error')::INT) >= 0.995 AND quantile_cont(value, 0.95) < 3 END AS passed FROM events", "agg_slo_assess")(
     lambda t: t.events.agg(F.avg((F.col("event_type") == "error").cast("int")).alias("e"), F.percentile("value", F.lit(0.95)).alias("p"), F.count("*").alias("n")).select(F.round(1 - F.col("e"), 6).alias("availability"), (1 - F.col("e") >= 0.995).alias("available"), (F.col("p") < 3).alias("fast"), F.when(F.col("n") >= 100, (1 - F.col("e") >= 0.995) & (F.col("p") < 3)).alias("passed"))
 )
-query("SELECT count(*) AS files, count(*) FILTER (v.vec_id IS NULL) AS without_vector, count(*) FILTER (l.doc_id IS NULL) AS without_label, count(*) FILTER (v.vec_id IS NULL OR l.doc_id IS NULL) = 0 AS ok FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN labels l USING (doc_id)", "agg_index_consistency")(
-    lambda t: t.documents.select("doc_id").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v")), "doc_id", "left").join(t.labels.select("doc_id", F.lit(1).alias("l")), "doc_id", "left").agg(F.count("*").alias("files"), F.count_if(F.col("v").isNull()).alias("without_vector"), F.count_if(F.col("l").isNull()).alias("without_label"), (F.count_if(F.col("v").isNull() | F.col("l").isNull()) == 0).alias("ok"))
-)
 query("SELECT d.source, count(*) AS files, count(v.vec_id) AS indexed, md5(string_agg(d.doc_id, ',' ORDER BY d.doc_id)) = md5(string_agg(v.vec_id, ',' ORDER BY v.vec_id)) AS same FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY d.source", "join_index_consistency")(lambda t: manifest(t, "source").select("source", "files", "indexed", "same"))
 
 

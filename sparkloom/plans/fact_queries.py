@@ -162,9 +162,6 @@ def join_project_alias_longest(t: Tables) -> DataFrame:
     return hits.join(longer, (F.col("d") == F.col("doc_id")) & (F.col("long") != F.col("alias")) & F.contains("long", F.col("alias")), "left_anti").select("doc_id", "project")
 
 
-query("SELECT a.o_orderkey, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate::DATE = b.o_orderdate::DATE AND a.o_orderkey < b.o_orderkey", "join_review_conflicts")(
-    lambda t: t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")).join(t.orders.select(F.col("o_orderkey").alias("other"), "o_custkey", F.to_date("o_orderdate").alias("day")), ["o_custkey", "day"]).where("o_orderkey < other").select("o_orderkey", "other")
-)
 query("SELECT e.event_id, count(*) AS n FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts < e.ts + INTERVAL 1 HOUR AND o.ts > e.ts - INTERVAL 1 HOUR GROUP BY e.event_id", "join_interval_overlap_speakers")(
     lambda t: t.events.select("event_id", "user_id", "ts").join(t.events.select("user_id", F.col("ts").alias("other")), "user_id").where("other < ts + interval 1 hour AND other > ts - interval 1 hour").groupBy("event_id").agg(F.count("*").alias("n"))
 )
@@ -193,9 +190,6 @@ query(None, "kg_merge_whole")(lambda t: merged(edges(t)))
 query(f"SELECT DISTINCT (s % 10)::BIGINT AS s, p FROM {EDGES}", "set_entity_merge")(lambda t: edges(t).select((F.col("s") % 10).alias("s"), "p").distinct())
 query("SELECT l_suppkey, count(*) AS mentions, min(l_orderkey) AS first, max(l_orderkey) AS last, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS aliases FROM lineitem GROUP BY l_suppkey", "agg_entity_upsert")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("mentions"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("aliases")))
 query("SELECT l_suppkey, count(*) AS mentions FROM lineitem GROUP BY l_suppkey ORDER BY mentions DESC, l_suppkey LIMIT 20", "kg_list_entities")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "l_suppkey").limit(20))
-query(f"SELECT s, concat(s, ' supplies ', string_agg(p, ', ' ORDER BY p)) AS line FROM (SELECT * FROM {EDGES} WHERE s <= 5 QUALIFY row_number() OVER (PARTITION BY s ORDER BY p) <= 4) GROUP BY s", "kg_entity_context")(
-    lambda t: ranking.top_per(edges(t).where("s <= 5"), ["s"], [F.asc("p")], 4).groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("ps")).select("s", F.concat(F.col("s").cast("string"), F.lit(" supplies "), F.array_join(F.transform("ps", lambda x: x.cast("string")), ", ")).alias("line"))
-)
 query("SELECT c_custkey, string_agg(a, ',' ORDER BY a) AS aliases FROM (SELECT DISTINCT c_custkey, unnest([lower(trim(c_mktsegment)), lower(c_name), 'building']) AS a FROM customer) WHERE a <> 'building' GROUP BY c_custkey", "set_alias_normalise")(
     lambda t: t.customer.select("c_custkey", F.array_join(F.array_sort(F.array_remove(F.array_distinct(F.transform(F.array("c_mktsegment", "c_name", F.lit(" Building ")), lambda x: F.lower(F.trim(x)))), F.lit("building"))), ",").alias("aliases"))
 )

@@ -121,15 +121,6 @@ query(None, "topk_mmr")(lambda t: chosen(t, lambda r: r.iloc[Q.mmr(r["text"].tol
 query(None, "topk_chunk_budget")(lambda t: chosen(t, lambda r: r[["meeting", "doc_id"]].assign(chunks=Q.apportioned(r["score"].tolist(), 3 * len(r), 1, 8)), "meeting string, doc_id long, chunks long"))
 
 
-def rerank_sql(words: list[str], n: int, k: int, least: float = 0.05) -> str:
-    best = f"(SELECT doc_id FROM {POOL} ORDER BY score DESC, doc_id LIMIT {n})"
-    score = f"round(len(list_intersect(list_distinct(string_split_regex(lower(text), '\\s+')), {words})) / {len(words)}, 6)"
-    return f"SELECT doc_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, max(score) OVER () AS best FROM (SELECT doc_id, {score} AS score FROM documents WHERE doc_id IN {best})) WHERE rank <= {k} AND (score >= {least} OR best < {least})"
-
-
-query(rerank_sql(["the", "of", "and", "that"], 200, 16), "topk_rerank")(lambda t: strategies.reranked(head(t).join(texts(t), "doc_id").select("doc_id", "text"), "the of and that", "doc_id", "text", 16).select("doc_id", "score", "rank"))
-query(rerank_sql(["the", "of", "and", "that"], 48, 16), "topk_rerank_step")(lambda t: strategies.reranked(head(t, 48).join(texts(t), "doc_id").select("doc_id", "text"), "the of and that", "doc_id", "text", max(16, 48 // 3)).select("doc_id", "score", "rank"))
-query(rerank_sql(["from", "with"], 30, 8, 0.1), "ext_reranker")(lambda t: strategies.reranked(head(t, 30).join(texts(t), "doc_id").select("doc_id", "text"), "from with", "doc_id", "text", 8, 0.1).select("doc_id", "score", "rank"))
 query(None, "ext_embeddings")(lambda t: texts(t).select("doc_id", F.transform(strategies.embedded(F.col("text")), lambda x: F.round(x, 6)).alias("embedding")))
 query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) = lower(trim(text)) THEN 'caption' WHEN regexp_matches(text, '[0-9]') OR length(text) > 2 * length(role) THEN 'both' ELSE 'model' END AS keep FROM conversations", "ext_vision_dedupe")(lambda t: t.conversations.select("conv_id", "turn", strategies.caption_and_ocr(F.col("role"), F.col("text")).alias("keep")))
 query("SELECT 'fast' AS name, 8 AS top_k, 3 AS fetch UNION ALL SELECT 'balanced', 8, 6 UNION ALL SELECT 'thorough', 12, 8", "ext_profiles")(lambda t: t.spark.createDataFrame([(n, p.top_k, p.fetch) for n, p in strategies.PROFILES.items()], "name string, top_k int, fetch int"))

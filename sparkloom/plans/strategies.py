@@ -93,21 +93,30 @@ def embedded(text: Column, model: str = "hash-embedding") -> Column:
 
 
 @register_model("overlap")
-def overlap(query: str, text: str) -> float:
-    a, b = set(query.lower().split()), set(text.lower().split())
-    return len(a & b) / len(a) if a else 0.0
-
-
-def reranked(pool: DataFrame, query: str, key: str, text: str, k: int, least: float = 0.05, model: str = "overlap") -> DataFrame:
-    """The best of a bounded pool by a pair scorer; if none reaches ``least``, the best of all."""
-    f = MODELS[model]
-
-    @F.pandas_udf("double")
-    def g(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(lambda t: f(query, t))
-
-    scored = ranking.ranked(pool.withColumn("score", F.round(g(F.col(text)), 6)), ranking.best_first("score", key))
-    return scored.withColumn("best", F.max("score").over(Window.partitionBy())).where((F.col("score") >= least) | (F.col("best") < least)).where(F.col("rank") <= k).drop("best")
+def overlap(query: str, text: Column) -> Column:
+    """Share of the query's words that a text has. A scorer gives a column; one that isn't built in wraps a pandas UDF."""
+    words = sorted(set(query.lower().split()))
+    own = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+    return F.size(F.array_intersect(F.array(*map(F.lit, words)), own)) / len(words) if words else F.lit(0.0)
+
+
+def reranked(
+    pool: DataFrame, query: str, key: str, text: str, k: int | Column, least: float = 0.05, model: str = "overlap", by: list[str] | None = None, file: str | None = None, per_file: int = 0
+) -> DataFrame:
+    """The best of the bounded pool of each request (``by``) by a pair scorer. Of a pool of 1.5 k or more half is kept; scores
+    below ``least`` go, but if none reaches it, the first k stay. With ``per_file`` the whole pool is ranked, so many of each
+    file come first, then others by score until there are k."""
+    by = by or []
+    whole, best = Window.partitionBy(*by), ranking.best_first("score", key)
+    k = F.lit(k) if isinstance(k, int) else k
+    scored = pool.withColumn("score", F.round(MODELS[model](query, F.col(text)), 6)).withColumn("_k", k).withColumn("_n", F.count("*").over(whole)).withColumn("_best", F.max("score").over(whole))
+    wide = F.col("_n") if per_file else F.when(F.col("_n") >= 1.5 * F.col("_k"), F.greatest(F.col("_k"), F.floor(F.col("_n") / 2))).otherwise(F.col("_k"))
+    kept = ranking.ranked(scored, best, by).where(F.col("rank") <= wide).where((F.col("score") >= least) | ((F.col("_best") < least) & (F.col("rank") <= F.col("_k"))))
+    if per_file:
+        late = ranking.ranked(kept, best, [*by, file], "_i").withColumn("_late", (F.col("_i") > per_file).cast("int"))
+        placed = ranking.ranked(late, [F.asc("_late"), *best], by).withColumn("_sure", F.sum(1 - F.col("_late")).over(whole))
+        kept = placed.where(F.col("rank") <= F.greatest("_k", "_sure")).drop("_i", "_late", "_sure")
+    return kept.drop("_k", "_n", "_best")
 
 
 def snapshot(p: Profile) -> str:
