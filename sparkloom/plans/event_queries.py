@@ -6,7 +6,7 @@ a message or utterance, its role the speaker.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -53,23 +53,37 @@ query(f"SELECT stage, count(*) AS files FROM (SELECT json_extract_string(props,
     lambda t: ev(t).groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("file")).agg(F.collect_set("status").alias("s")).select(F.coalesce(*(F.when(F.array_contains("s", x), x) for x in ("failed", "running", "queued", "completed")), F.lit("unknown")).alias("stage")).groupBy("stage").agg(F.count("*").alias("files"))
 )
 query("SELECT user_id, round(avg((event_type = 'purchase')::INT), 6) AS usefulness FROM events GROUP BY user_id", "agg_usefulness_mean")(lambda t: t.events.groupBy("user_id").agg(F.round(F.avg((F.col("event_type") == "purchase").cast("int")), 6).alias("usefulness")))
-query("SELECT source, sha256(string_agg(doc_id, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source", "agg_source_snapshot_hash")(lambda t: t.documents.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256).alias("digest")))
+# Digests of sets of ids: sums of 60 bits of each id's MD5, so no task holds the ids of a source and order doesn't matter.
+ID_SUM = "sum(('0x' || substr(md5({}::VARCHAR), 1, 15))::BIGINT)"
+
+
+def id_sum(c: str) -> Column:
+    return F.sum(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 15), 16, 10).cast("decimal(20,0)"))
+
+
+query(f"SELECT source, sha256(concat(count(*), ':', {ID_SUM.format('doc_id')})) AS digest FROM documents GROUP BY source", "agg_source_snapshot_hash")(
+    lambda t: t.documents.groupBy("source").agg(F.sha2(F.concat(F.count("*").cast("string"), F.lit(":"), id_sum("doc_id").cast("string")), 256).alias("digest"))
+)
 query("SELECT conv_id, arg_max(role, (n, -first)) AS speaker FROM (SELECT conv_id, role, sum(length(text)) AS n, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id", "agg_dominant_speaker")(lambda t: t.conversations.groupBy("conv_id", "role").agg(F.sum(F.length("text")).alias("n"), F.min("turn").alias("first")).groupBy("conv_id").agg(F.max_by("role", F.struct("n", -F.col("first"))).alias("speaker")))
 query("SELECT count(*) AS n FROM documents WHERE source IN ('src1', 'src2')", "agg_retrieval_pool_estimate")(lambda t: t.documents.where("source IN ('src1', 'src2')").agg(F.count("*").alias("n")))
 query("SELECT round(1 - avg((event_type = 'error')::INT), 6) AS availability, 1 - avg((event_type = 'error')::INT) >= 0.995 AS available, quantile_cont(value, 0.95) < 3 AS fast, CASE WHEN count(*) < 100 THEN NULL ELSE 1 - avg((event_type = 'error')::INT) >= 0.995 AND quantile_cont(value, 0.95) < 3 END AS passed FROM events", "agg_slo_assess")(
     lambda t: t.events.agg(F.avg((F.col("event_type") == "error").cast("int")).alias("e"), F.percentile("value", F.lit(0.95)).alias("p"), F.count("*").alias("n")).select(F.round(1 - F.col("e"), 6).alias("availability"), (1 - F.col("e") >= 0.995).alias("available"), (F.col("p") < 3).alias("fast"), F.when(F.col("n") >= 100, (1 - F.col("e") >= 0.995) & (F.col("p") < 3)).alias("passed"))
 )
-query("SELECT d.source, count(*) AS files, count(v.vec_id) AS indexed, md5(string_agg(d.doc_id, ',' ORDER BY d.doc_id)) = md5(string_agg(v.vec_id, ',' ORDER BY v.vec_id)) AS same FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY d.source", "join_index_consistency")(lambda t: manifest(t, "source").select("source", "files", "indexed", "same"))
+query(f"SELECT source, count(*) AS files, count(vec_id) AS indexed, {ID_SUM.format('doc_id')} = {ID_SUM.format('vec_id')} AS same FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source", "join_index_consistency")(
+    lambda t: manifest(t, "source").select("source", "files", "indexed", "same")
+)
 
 
 def manifest(t: Tables, by: str) -> DataFrame:
-    """Ids of rows and of vectors of each group, counted and compared by an order-independent digest of sorted ids."""
-    ids = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ","))
+    """Ids of rows and of vectors of each group, counted and compared by digest."""
     both = t.documents.select("doc_id", by).join(t.embeddings.select("vec_id"), F.col("vec_id") == F.col("doc_id"), "left")
-    return both.groupBy(by).agg(F.count("*").alias("files"), F.count("vec_id").alias("indexed"), ids("vec_id").alias("digest"), ids("doc_id").alias("d")).withColumn("same", F.when(F.col("indexed") > 0, F.col("digest") == F.col("d"))).drop("d")
+    counts = both.groupBy(by).agg(F.count("*").alias("files"), F.count("vec_id").alias("indexed"), id_sum("vec_id").alias("v"), id_sum("doc_id").alias("d"))
+    return counts.select(by, "files", "indexed", F.md5(F.coalesce(F.col("v").cast("string"), F.lit(""))).alias("digest"), (F.col("v") == F.col("d")).alias("same"))
 
 
-query("SELECT source, count(v.vec_id) AS indexed, md5(coalesce(string_agg(v.vec_id, ',' ORDER BY v.vec_id), '')) AS digest FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY source", "index_manifest_inspect")(lambda t: manifest(t, "source").select("source", "indexed", "digest"))
+query(f"SELECT source, count(vec_id) AS indexed, md5(coalesce({ID_SUM.format('vec_id')}::VARCHAR, '')) AS digest FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source", "index_manifest_inspect")(
+    lambda t: manifest(t, "source").select("source", "indexed", "digest")
+)
 query("SELECT doc_id, 'ready' AS status, 1 AS generation, sha256(text) AS checksum, len(string_split(text, chr(10)))::INT AS chunks FROM documents", "idx_state")(lambda t: t.documents.select("doc_id", F.lit("ready").alias("status"), F.lit(1).alias("generation"), F.sha2("text", 256).alias("checksum"), F.size(F.split("text", "\n")).alias("chunks")))
 query(f"SELECT status, count(*) AS n, count(*) FILTER (ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS expired FROM {E} GROUP BY status", "agg_idempotency_lifecycle")(lambda t: ev(t).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("ts") < now() - F.expr("interval 7 days")).alias("expired")))
 query("SELECT coalesce(CASE WHEN event_type <> 'view' THEN event_type END, 'pending') AS status, count(*) AS n FROM events GROUP BY 1", "agg_pending_by_status")(lambda t: t.events.groupBy(F.coalesce(F.when(F.col("event_type") != "view", F.col("event_type")), F.lit("pending")).alias("status")).agg(F.count("*").alias("n")))
@@ -178,7 +192,6 @@ query("SELECT o_orderkey FROM orders o WHERE o_orderpriority LIKE '5%' OR (EXIST
     lambda t: t.orders.select("o_orderkey", "o_orderpriority").join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_returnflag") == "N").alias("knowledge")), "o_orderkey", "left").where("o_orderpriority LIKE '5%' OR coalesce(knowledge, false)").select("o_orderkey")
 )
 query("SELECT conv_id, turn FROM conversations WHERE len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 3)), ['that', 'with', 'this', 'from', 'which'])) >= 2", "filter_web_overlap")(lambda t: t.conversations.where(F.size(F.array_intersect(F.array_distinct(F.filter(T.words(F.col("text")), lambda x: F.length(x) > 3)), F.array(*map(F.lit, ("that", "with", "this", "from", "which"))))) >= 2).select("conv_id", "turn"))
-query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND l_shipdate >= o_orderdate AND l_quantity >= 10", "filter_admissible_memory")(lambda t: t.lineitem.where("l_quantity >= 10").join(t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey").where("l_shipdate >= o_orderdate").select("l_orderkey", "l_linenumber"))
 query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 2", "date_meeting_time_anchor")(lambda t: t.orders.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(2).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))
 query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(list|all|every)\\b') THEN 12 WHEN length(text) < 40 THEN 3 ELSE 8 END AS k FROM conversations", "topk_adaptive_k")(lambda t: t.conversations.select("conv_id", "turn", F.when(F.lower("text").rlike(r"\b(list|all|every)\b"), 12).when(F.length("text") < 40, 3).otherwise(8).alias("k")))
 query("SELECT source, least(greatest(floor(8 * log10(greatest(count(*), 10))), 8), 64)::BIGINT AS k FROM documents GROUP BY source", "topk_wide_k")(lambda t: t.documents.groupBy("source").agg(F.count("*").alias("n")).select("source", F.least(F.greatest(F.floor(8 * F.log10(F.greatest("n", F.lit(10)))), F.lit(8)), F.lit(64)).cast("bigint").alias("k")))

@@ -1,4 +1,4 @@
-"""Reranking, the review queue, the health of indexes and context from entities, with the SQL that must give the same rows."""
+"""Reranking, the review queue, the health of indexes, context from entities and facts with evidence, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import ranking
+from ..functions import text as T
+from ..operators import evidence, ranking
 from . import strategies
 from .index_queries import DISTANCE
 from .registry import Tables, query
@@ -137,3 +138,38 @@ def kg_entity_context(t: Tables) -> DataFrame:
     relations = F.when(F.col("ps").isNotNull(), F.concat(F.lit(" [relations: "), parts, F.lit("]"))).otherwise("")
     line = F.concat(F.lit("- Supplier: **"), "s_name", F.lit("** ("), "n_name", F.lit(")"), relations)
     return kept.join(first, "s_suppkey", "left").select("rank", line.alias("line"))
+
+
+# Facts with evidence: each document is remembered by its first words, quotes some of its words and cites itself and the next.
+EXCERPT = "array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 3, 8), ' ')"
+VALUE = "array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 12), ' ')"
+
+
+@query(f"""WITH m AS (SELECT doc_id AS key, source, n_chars, {EXCERPT} AS excerpt, regexp_matches(lower({EXCERPT}), '{T.DIRECTIVE}') OR regexp_matches(lower({VALUE}), '{T.DIRECTIVE}') AS directive FROM documents),
+    r AS (SELECT key, directive, trim(regexp_replace(excerpt, '\\s+', ' ', 'g')) AS excerpt, key + 1 AS doc_id, source AS meeting, NULL AS revision, NULL AS stop FROM m WHERE key % 5 > 1
+        UNION ALL SELECT key, directive, trim(regexp_replace(excerpt, '\\s+', ' ', 'g')), key, CASE WHEN key % 3 <> 0 THEN source END, CASE WHEN key % 7 <> 0 THEN n_chars::VARCHAR ELSE 'old' END, CASE WHEN key % 4 = 0 THEN 400 END FROM m WHERE key % 5 > 1),
+    x AS (SELECT key, excerpt, regexp_replace(CASE WHEN stop IS NULL THEN text ELSE substr(text, 1, stop) END, '\\s+', ' ', 'g') AS body
+        FROM r JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id)
+        WHERE coalesce(toxic, 0) = 0 AND NOT directive AND excerpt <> '' AND (meeting IS NULL OR meeting = d.source) AND (revision IS NULL OR revision = n_chars::VARCHAR) AND (stop IS NULL OR stop <= length(text)))
+    SELECT key FROM m WHERE key % 5 = 0 OR (key % 5 = 1 AND key % 2 = 1 AND NOT directive)
+    UNION SELECT key FROM x WHERE length(body) - length(replace(body, excerpt, '')) = length(excerpt)""")
+def filter_admissible_memory(t: Tables) -> DataFrame:
+    """Every fifth fact was written by hand and every fifth comes from talk; files of toxic label are no project state."""
+    key = F.col("doc_id")
+    words = F.split(F.trim("text"), r"\s+")
+    ref = lambda file, meeting, revision, stop: F.struct(file.alias("file_id"), meeting.alias("meeting_id"), revision.alias("source_revision"), stop.alias("window_end"))
+    next_one = ref(key + 1, F.col("source"), F.lit(None).cast("string"), F.lit(None).cast("int"))
+    own = ref(key, F.when(key % 3 != 0, F.col("source")), F.when(key % 7 != 0, F.col("n_chars").cast("string")).otherwise("old"), F.when(key % 4 == 0, 400))
+    memories = t.documents.select(
+        key.alias("key"),
+        F.when(key % 5 == 0, "manual").when(key % 5 == 1, "consolidated").otherwise("auto_extracted").alias("made"),
+        F.array_join(F.slice(words, 1, 12), " ").alias("value"),
+        F.array_join(F.slice(words, 3, 6), " ").alias("excerpt"),
+        F.when(key % 5 > 1, F.to_json(F.array(next_one, own))).alias("refs"),
+        F.when(key % 2 == 0, F.to_json(F.array(key))).alias("file_ids"),
+    )
+    policy = F.when(F.coalesce("toxic", F.lit(0)) == 0, "project_state").otherwise("reference")
+    files = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").select(
+        key.alias("file_id"), F.col("source").alias("meeting_id"), policy.alias("policy"), F.array(F.col("n_chars").cast("string")).alias("revisions"), "text"
+    )
+    return evidence.admissible(memories, files)
