@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import history, ranking
+from ..operators import history, quantiles, ranking
 from ..streaming import events as S
 from .registry import Tables, query
 
@@ -36,15 +36,22 @@ SPAN = "count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantil
 
 
 def span(df: DataFrame, *by: str) -> DataFrame:
-    """Exact percentiles by linear interpolation; percentiles of one label are merged from counts of distinct values."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), p.alias("p"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("deviation"))
-    return out.select(*by, "n", *(F.round(F.col("p")[i], 6).alias(f"p{k}") for i, k in enumerate((50, 95, 99))), "mean", "deviation")
+    """Exact percentiles by linear interpolation, and the spread, of each label."""
+    plain = df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("deviation"))
+    exact = quantiles.quantiles(df, list(by), "value", {f"p{k}": (k / 100, False) for k in (50, 95, 99)})
+    return plain.join(exact, list(by), "left").select(*by, "n", *(F.round(f"p{k}", 6).alias(f"p{k}") for k in (50, 95, 99)), "mean", "deviation")
 
 
 query(f"SELECT event_type, {SPAN} FROM events GROUP BY event_type UNION ALL SELECT 'trace_total', {SPAN} FROM events", "agg_span_stats")(lambda t: span(t.events, "event_type").unionByName(span(t.events.withColumn("event_type", F.lit("trace_total")), "event_type")))
+def latency(df: DataFrame) -> DataFrame:
+    """The median, and the 95th and 99th percentile by nearest rank, of each kind."""
+    exact = quantiles.quantiles(df, ["event_type"], "value", {"p50": (0.5, False), "p95": (0.95, True), "p99": (0.99, True)})
+    counts = df.groupBy("event_type").agg(F.count("*").alias("evaluated"), F.count_if(F.col("value").isNull()).alias("skipped"))
+    return counts.join(exact, "event_type", "left").select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "evaluated", "skipped")
+
+
 query("SELECT event_type, round(median(value), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99, count(*) AS evaluated, count(*) FILTER (value IS NULL) AS skipped FROM events GROUP BY event_type", "agg_latency_nearest_rank")(
-    lambda t: t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)"), 6).alias("p95"), F.round(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value)"), 6).alias("p99"), F.count("*").alias("evaluated"), F.count_if(F.col("value").isNull()).alias("skipped"))
+    lambda t: latency(t.events)
 )
 ERRORS = "SELECT event_id, user_id, round(avg((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW), 6) AS rate FROM events"
 query(ERRORS, "agg_error_rate_window")(lambda t: S.trailing_error_rate(t.events, "user_id", 86400).select("event_id", "user_id", F.round("rate", 6).alias("rate")))
