@@ -58,3 +58,14 @@ def runs(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame
     w = Window.partitionBy(key).orderBy(*order)
     changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
     return events.withColumn("run", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def within(df: DataFrame, by: list[str], at: str, reach: int, name: str) -> DataFrame:
+    """How many rows of a group, the row itself too, lie less than ``reach`` microseconds from each row. Rows meet in spans as
+    long as the reach, each also in the spans before and after its own, and are counted by a sliding frame: no pairs are made, and
+    a busy group is dealt out by time. A null time has no row."""
+    at_us = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.floor(F.col("_us") / reach)
+    spread = df.where(F.col(at).isNotNull()).withColumn("_us", at_us).withColumn("_off", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_span", span + F.col("_off"))
+    near = Window.partitionBy(*by, "_span").orderBy("_us").rangeBetween(-(reach - 1), reach - 1)
+    return spread.withColumn(name, F.count("*").over(near)).where("_off = 0").drop("_us", "_off", "_span")

@@ -217,9 +217,6 @@ def win_header_footer_repetition(t: Tables) -> DataFrame:
 query("SELECT source, bool_and(n_chars > 100) AND count(DISTINCT lang) = 1 AS passed FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3) GROUP BY source", "str_fast_evidence_gate")(lambda t: ranking.top_per(t.documents.select("source", "n_chars", "doc_id", "lang"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3).groupBy("source").agg((F.bool_and(F.col("n_chars") > 100) & (F.countDistinct("lang") == 1)).alias("passed")))
 query("SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 0.9 WHEN o_totalprice > 100000 THEN 0.6 END AS confidence FROM orders", "math_web_confidence")(lambda t: t.orders.select("o_orderkey", F.when(F.col("o_totalprice") > 400000, 0.9).when(F.col("o_totalprice") > 100000, 0.6).alias("confidence")))
 query("SELECT lang, string_agg(concat('| ', source, ' | ', n, ' |'), chr(10) ORDER BY source) AS md FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang", "scan_table_markdown")(lambda t: t.documents.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(F.lit("| "), x["source"], F.lit(" | "), x["n"].cast("string"), F.lit(" |"))), "\n").alias("md")))
-query("SELECT doc_id, i AS page, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, md5(p[i]) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) WHERE length(trim(p[i])) >= 15", "scan_page_chunks")(
-    lambda t: t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.length(F.trim("line")) >= 15).select("doc_id", (F.col("p") + 1).cast("bigint").alias("page"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("p")) - 1).cast("bigint").alias("chunk_index"), F.md5("line").alias("content"))
-)
 query("SELECT event_id, json_extract_string(props, '$.k') AS caption FROM events", "scan_image_texts")(lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").alias("caption")))
 query("SELECT doc_id, CASE WHEN source <> 'src0' THEN concat(lang, ' > ', source) END AS heading FROM documents", "scan_page_meta")(lambda t: t.documents.select("doc_id", F.when(F.col("source") != "src0", F.array_join(F.array("lang", "source"), " > ")).alias("heading")))
 query("SELECT doc_id FROM documents WHERE NOT (source = 'src3' AND doc_id % 2 = 0)", "sink_delete_scope")(lambda t: t.documents.select("doc_id").join(t.documents.where("source = 'src3' AND doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti"))

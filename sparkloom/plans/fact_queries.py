@@ -163,7 +163,7 @@ def join_project_alias_longest(t: Tables) -> DataFrame:
 
 
 query("SELECT e.event_id, count(*) AS n FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts < e.ts + INTERVAL 1 HOUR AND o.ts > e.ts - INTERVAL 1 HOUR GROUP BY e.event_id", "join_interval_overlap_speakers")(
-    lambda t: t.events.select("event_id", "user_id", "ts").join(t.events.select("user_id", F.col("ts").alias("other")), "user_id").where("other < ts + interval 1 hour AND other > ts - interval 1 hour").groupBy("event_id").agg(F.count("*").alias("n"))
+    lambda t: history.within(t.events, ["user_id"], "ts", 3_600_000_000, "n").select("event_id", "n")
 )
 query("SELECT d.doc_id, CASE WHEN l.quality = 1 AND coalesce(l.toxic, 0) = 0 THEN 'approved' WHEN l.quality IS NULL THEN 'unreviewed' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR (l.quality = 1 AND l.toxic = 0)", "filter_evidence_policy")(
     lambda t: t.documents.select("doc_id").join(t.labels, "doc_id", "left").withColumn("status", F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), "approved").when(F.col("quality").isNull(), "unreviewed").otherwise("rejected")).where("status <> 'rejected'").select("doc_id", "status")

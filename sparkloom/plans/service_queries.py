@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import evidence, ranking
+from ..operators import chunks, evidence, ranking
 from . import strategies
 from .index_queries import DISTANCE
 from .registry import Tables, query
@@ -173,3 +173,25 @@ def filter_admissible_memory(t: Tables) -> DataFrame:
         key.alias("file_id"), F.col("source").alias("meeting_id"), policy.alias("policy"), F.array(F.col("n_chars").cast("string")).alias("revisions"), "text"
     )
     return evidence.admissible(memories, files)
+
+
+# Pages: the lines of a document, some with a table or a picture.
+BUDGET = 40
+
+
+@query(f"""WITH p AS (SELECT doc_id, lang, source, i AS page, parts[i] AS line, string_split_regex(trim(parts[i]), '\\s+') AS w
+        FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)),
+    i AS (SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN source END AS caption, CASE WHEN page % 2 = 0 AND length(substr(line, 1, 30)) >= 15 THEN substr(line, 1, 30) END AS ocr FROM p),
+    c AS (SELECT doc_id, page, 1 AS kind, 0 AS n, 'text' AS content_type, line AS content FROM p WHERE length(trim(line)) > 0 AND len(w) <= {BUDGET}
+        UNION ALL SELECT doc_id, page, 1, j, 'text', array_to_string(list_slice(w, j * {BUDGET} + 1, (j + 1) * {BUDGET}), ' ') FROM p, LATERAL (SELECT unnest(range(0, (len(w) - 1) // {BUDGET} + 1)) AS j) WHERE length(trim(line)) > 0 AND len(w) > {BUDGET}
+        UNION ALL SELECT doc_id, page, 2, 0, 'table', concat('| ', lang, ' | ', source, ' |') FROM p WHERE page = 1
+        UNION ALL SELECT doc_id, page, 3, 0, CASE WHEN caption IS NULL THEN 'image_ocr' WHEN ocr IS NULL THEN 'image_caption' ELSE 'image_combined' END,
+            CASE WHEN caption IS NULL THEN ocr WHEN ocr IS NULL THEN caption ELSE concat('[Caption] ', caption, chr(10), '[OCR] ', ocr) END FROM i WHERE caption IS NOT NULL OR ocr IS NOT NULL)
+    SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, n) - 1 AS chunk_index, content_type, md5(content) AS content FROM c""")
+def scan_page_chunks(t: Tables) -> DataFrame:
+    """Text, tables and pictures of each page as rows of an index."""
+    lines = t.documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("page", (F.col("i") + 1).cast("bigint"))
+    table = F.when(F.col("page") == 1, F.array(F.concat(F.lit("| "), "lang", F.lit(" | "), "source", F.lit(" |"))))
+    picture = F.struct(F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("caption"), F.when(F.col("page") % 2 == 0, F.substring("text", 1, 30)).alias("ocr"))
+    pages = lines.select("doc_id", "page", "text", table.alias("tables"), F.array(picture).alias("images"))
+    return chunks.page_chunks(pages, "doc_id", BUDGET).select("doc_id", "page", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content_type", F.md5("content").alias("content"))

@@ -1,12 +1,13 @@
-"""Evidence, quantiles and reranking against small cases and brute force."""
+"""Evidence, quantiles, reranking, sliding counts and page chunks against small cases and brute force."""
 
+import datetime
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evidence, quantiles
+from sparkloom.operators import chunks, evidence, history, quantiles
 from sparkloom.plans import strategies
 
 FILES = [
@@ -77,3 +78,29 @@ def test_reranking(spark):
     assert ids(least=0.0, file="file", per_file=1) == [9, 3, 0, 1, 2, 30]  # six files are more than k
     assert ids(least=0.0, file="file", per_file=1, k=8) == [9, 3, 0, 1, 2, 30, 4, 5]
     assert strategies.reranked(pool.where(F.lit(False)), "alpha", "id", "text", 4).count() == 0
+
+
+def test_within(spark):
+    random = np.random.default_rng(3)
+    start = datetime.datetime(2024, 1, 1)
+    data = [(i, int(random.integers(3)) or None, start + datetime.timedelta(seconds=int(random.integers(20000)))) for i in range(300)] + [(300, 1, start), (301, 1, start), (302, 1, None)]
+    got = {r.id: r.n for r in history.within(spark.createDataFrame(data, "id long, who long, at timestamp"), ["who"], "at", 3_600_000_000, "n").collect()}
+    want = {i: sum(w == who and t is not None and abs((t - at).total_seconds()) < 3600 for _, w, t in data) for i, who, at in data if at is not None}
+    assert got == want
+
+
+def test_page_chunks(spark):
+    pages = spark.createDataFrame(
+        [
+            ("a", 2, " one  two three four five ", None, [("cap", "short"), ("cap", "x" * 15), (None, "y" * 15), ("", "short"), (None, None)]),
+            ("a", 1, "one two", ["| t |", " ", None], None),
+            ("b", 1, " ", [], []),
+            ("c", 1, None, ["| u |"], []),
+        ],
+        "file string, page int, text string, tables array<string>, images array<struct<caption string, ocr string>>",
+    )
+    got = [tuple(r) for r in chunks.page_chunks(pages, "file", 2).orderBy("file", "chunk_index").collect()]
+    assert got == [
+        ("a", 1, 0, "text", "one two"), ("a", 1, 1, "table", "| t |"), ("a", 2, 2, "text", "one two"), ("a", 2, 3, "text", "three four"), ("a", 2, 4, "text", "five"),
+        ("a", 2, 5, "image_caption", "cap"), ("a", 2, 6, "image_combined", "[Caption] cap\n[OCR] " + "x" * 15), ("a", 2, 7, "image_ocr", "y" * 15), ("c", 1, 0, "table", "| u |"),
+    ]
