@@ -17,7 +17,8 @@ def page_chunks(pages: DataFrame, file: str, budget: int, least: int = 15) -> Da
     text together, or the one that is there; recognised text under ``least`` characters doesn't count. ``chunk_index`` runs
     from 0 through the file. Blank text, null lists and images with neither give nothing.
     """
-    words = F.split(F.trim("text"), r"\s+")
+    pages = pages.select(file, "page", "text", "tables", "images", F.split(F.trim("text"), r"\s+").alias("_words"))  # once for all chunks
+    words = F.col("_words")
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / budget).cast("int")), lambda i: F.array_join(F.slice(words, i * budget + 1, F.lit(budget)), " "))
     texts = F.when(~filled(F.col("text")), F.array().cast("array<string>")).when(F.size(words) <= budget, F.array("text")).otherwise(parts)
 

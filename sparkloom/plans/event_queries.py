@@ -42,7 +42,9 @@ def span(df: DataFrame, *by: str) -> DataFrame:
     return plain.join(exact, list(by), "left").select(*by, "n", *(F.round(f"p{k}", 6).alias(f"p{k}") for k in (50, 95, 99)), "mean", "deviation")
 
 
-query(f"SELECT event_type, {SPAN} FROM events GROUP BY event_type UNION ALL SELECT 'trace_total', {SPAN} FROM events", "agg_span_stats")(lambda t: span(t.events, "event_type").unionByName(span(t.events.withColumn("event_type", F.lit("trace_total")), "event_type")))
+query(f"SELECT event_type, {SPAN} FROM events GROUP BY event_type UNION ALL SELECT 'trace_total', {SPAN} FROM events", "agg_span_stats")(
+    lambda t: span(t.events.select(F.explode(F.array("event_type", F.lit("trace_total"))).alias("event_type"), "value"), "event_type")
+)
 def latency(df: DataFrame) -> DataFrame:
     """The median, and the 95th and 99th percentile by nearest rank, of each kind."""
     exact = quantiles.quantiles(df, ["event_type"], "value", {"p50": (0.5, False), "p95": (0.95, True), "p99": (0.99, True)})
