@@ -93,7 +93,7 @@ class Book:
 
 def integers(column: pa.Array, width: int) -> np.ndarray:
     """floor(SCALE * x) of a column of vectors of one length, int64 or, where those are too large, Python's integers."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) * SCALE
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width) * SCALE
     if not flat.size or np.abs(flat).max() < NARROW:
         return np.floor(flat).astype(np.int64)
     return np.array([[min(max(int(np.floor(v)), -WIDEST), WIDEST) if np.isfinite(v) else (WIDEST if v > 0 else -WIDEST) for v in row] for row in flat], object).reshape(flat.shape)
