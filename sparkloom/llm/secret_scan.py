@@ -1,8 +1,12 @@
 """Secrets in texts, with multipart credentials linked.
 
 Three base kinds stand alone: values assigned to secret-like names, access identifiers, and long hexadecimal
-strings. Two weak kinds are common in clean text and are reported only where complementary parts meet: an opaque
-string near an access identifier or an endpoint with an identifier, and an endpoint near a credential.
+strings. Two weak kinds are common in clean text and are reported only where complementary parts meet in one scope:
+
+* an endpoint with an access identifier or an assigned secret;
+* an opaque string with an access identifier, or with both an assigned secret and an endpoint.
+
+A hexadecimal string links nothing, as hashes of commits and files stand beside addresses in clean text.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "opaque", "endpoint")
 BASE = KINDS[:3]
-#: Code points on either side of a part that its scope takes in; a scope also ends at an empty line.
+#: Code points on either side of a part that its scope takes in; a scope also ends at a blank line, whatever ends its lines.
 SCOPE = 300
+BREAK = re.compile(r"\n[\x20\t]*\r?\n")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -70,22 +75,30 @@ class Index:
 def near(index: Index, begin: int, end: int, text: str) -> bool:
     """Interval join for one span: is any span of the index in its scope and paragraph, however long it is?"""
     for start, _, stop in index.spans[bisect_left(index.reach, begin - SCOPE) : bisect_right(index.starts, end + SCOPE)]:
-        if stop >= begin - SCOPE and not (stop <= end and start >= begin) and "\n\n" not in text[min(stop, end) : max(start, begin)]:
+        if stop >= begin - SCOPE and not (stop <= end and start >= begin) and not BREAK.search(text, min(stop, end), max(start, begin)):
             return True
     return False
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts whose complements co-occur; text without an access identifier or endpoint has none."""
+    """Weak parts whose complements co-occur: identifiers, secrets and endpoints are joined by their intervals."""
+    access, assigned = [x for x in base if x[1] == 1], [x for x in base if x[1] == 0]
+    if not access and not assigned:
+        return []
     endpoints = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    access = [x for x in base if x[1] == 1]
-    if not access and not (endpoints and base):
+    if not access and not endpoints:
         return []
     taken = Index(base + endpoints)
     opaque = [(m.start(), 3, m.end()) for m in OPAQUE.finditer(text) if not taken.overlaps(m.start(), m.end())]
-    at_access, at_strong = Index(access), Index(base)
-    weak = [x for x in opaque if near(at_access, x[0], x[2], text)]
-    return weak + [x for x in endpoints if near(at_strong, x[0], x[2], text)]
+    identifiers, secrets, places = Index(access), Index(assigned), Index(endpoints)
+
+    def linked(x: Span) -> bool:
+        at = x[0], x[2], text
+        if near(identifiers, *at):
+            return True
+        return near(secrets, *at) and (x[1] == 4 or near(places, *at))
+
+    return [x for x in opaque + endpoints if linked(x)]
 
 
 def listed(spans: list[Span]) -> str:
