@@ -109,13 +109,6 @@ query("SELECT count(*) AS n FROM documents WHERE lang = 'fr'", "source_count_mee
 query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 51", "source_memory_export")(lambda t: t.orders.where("o_orderkey > 500").orderBy("o_orderkey").limit(51).select("o_orderkey", "o_totalprice"))
 query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 30", "source_sessions")(lambda t: t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns")).orderBy(F.desc("conv_id")).limit(30))
 query("SELECT conv_id + 1000000 AS conv_id, turn, role FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id, turn, role FROM conversations", "source_branch_session")(lambda t: t.conversations.where("turn < 3").select((F.col("conv_id") + 1000000).alias("conv_id"), "turn", "role").unionByName(t.conversations.select("conv_id", "turn", "role")))
-query("SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) > 3", "source_fts_rebuild")(lambda t: _postings(t))
-
-
-def _postings(t: Tables) -> DataFrame:
-    from ..operators import fulltext
-
-    return fulltext.postings(t.documents, "doc_id", "text")[0].groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where("df > 3")
 
 
 # Messages.

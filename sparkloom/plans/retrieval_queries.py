@@ -6,12 +6,17 @@ A file is a document, its meeting is its source, and its vector is the embedding
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import fulltext, ranking
+from ..sources import lexical_index
+from ..sources.lexical_index import LexicalIndex
+from ..sources.store import shared_folder
 from .registry import Tables, query
 
 QUERY_WORDS = ("the", "tion", "and")
@@ -65,34 +70,99 @@ query(f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, {DIST} AS d
 query("SELECT label, i AS place, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) AS r(i) GROUP BY ALL", "agg_average_embedding")(lambda t: t.embeddings.select("label", F.posexplode("embedding").alias("p", "x")).groupBy("label", (F.col("p") + 1).cast("bigint").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")))
 query(f"SELECT vec_id, label, round({COS}, 6) AS score {VEC} WHERE label IN (1, 2, 3) AND vec_id <> 0 ORDER BY {COS} DESC, vec_id LIMIT 10", "join_entity_similarity")(lambda t: with_query(t).where("label IN (1, 2, 3) AND vec_id <> 0").withColumn("s", N.cosine(F.col("embedding"), F.col("q"))).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", "label", F.round("s", 6).alias("score")))
 
-# Full text.
+# Full text: every search reads an index that is stored once for its table.
 BM25 = fulltext.sql(QUERY_WORDS)
-query(f"SELECT doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({BM25})) WHERE rank <= 50", "fts_chunk_search")(lambda t: bm25(t))
-query("SELECT count(*) AS documents, round(avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 6) AS average FROM documents", "fts_stats")(lambda t: fulltext.stats(fulltext.postings(t.documents, "doc_id", "text")[1]).select("documents", F.round("average", 6).alias("average")))
 SUMMARY = fulltext.sql(QUERY_WORDS, "(SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)")
-query(f"SELECT doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({SUMMARY})) WHERE rank <= 20", "fts_summary_search")(lambda t: bm25(t, F.element_at(F.split("text", "\n"), 1), 20))
 CHAT = fulltext.sql(("what", "the"), "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)")
-query(f"SELECT doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({CHAT})) WHERE rank <= 20", "fts_chat_search")(
-    lambda t: ranking.top(fulltext.search(t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id", "text", ["what", "the"]).withColumn("s", F.round("score", 9)), [F.desc("s"), F.asc("doc_id")], 20).select("doc_id", F.round("score", 6).alias("score"), "rank")
-)
-query(f"SELECT doc_id, round(score, 6) AS score FROM ({BM25}) WHERE score >= 0.1", "filter_bm25_floor")(lambda t: fulltext.search(t.documents, "doc_id", "text", QUERY_WORDS).where("score >= 0.1").select("doc_id", F.round("score", 6).alias("score")))
-query(f"SELECT source, max(round(score, 6)) AS score FROM ({BM25}) JOIN documents USING (doc_id) WHERE score >= 0.1 GROUP BY source ORDER BY score DESC, source LIMIT 8", "fts_retrieve")(
-    lambda t: fulltext.search(t.documents, "doc_id", "text", QUERY_WORDS).where("score >= 0.1").join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max(F.round("score", 6)).alias("score")).orderBy(F.desc("score"), "source").limit(8)
-)
-query("SELECT count(*) FILTER (len(regexp_extract_all(lower(text), '[a-z0-9]+')) = 0) AS without_terms, 0::BIGINT AS unknown FROM documents", "fts_integrity")(lambda t: integrity(t))
+BEST = "SELECT doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({})) WHERE rank <= {}"
+
+
+def chunk_index(t: Tables) -> LexicalIndex:
+    return lexical_index.of_table(t.spark, f"{t.sf_dir}/documents.parquet", "chunks", "doc_id", "text", ["source", "lang", "n_chars"])
+
+
+def summary_index(t: Tables) -> LexicalIndex:
+    return lexical_index.of_table(t.spark, f"{t.sf_dir}/documents.parquet", "summaries", "doc_id", F.element_at(F.split("text", "\n"), 1))
 
 
-def bm25(t: Tables, text=None, k: int = 50) -> DataFrame:
-    found = fulltext.search(t.documents.select("doc_id", (F.col("text") if text is None else text).alias("text")), "doc_id", "text", QUERY_WORDS).withColumn("s", F.round("score", 9))
+def chat_index(t: Tables) -> LexicalIndex:
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text")
+    return lexical_index.of_table(t.spark, f"{t.sf_dir}/conversations.parquet", "turns", "doc_id", "text", ["role"], turns)
+
+
+def best(index: LexicalIndex, terms, k: int, **filters) -> DataFrame:
+    found = index.search(terms, k, **filters).withColumn("s", F.round("score", 9))
     return ranking.top(found, [F.desc("s"), F.asc("doc_id")], k).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def integrity(t: Tables) -> DataFrame:
-    """Documents that the index lacks, and indexed ids without a document."""
-    own, _ = fulltext.postings(t.documents, "doc_id", "text")
-    ids = own.select("doc_id").distinct()
-    lost = t.documents.select("doc_id").join(ids, "doc_id", "left_anti").agg(F.count("*").alias("without_terms"))
-    return lost.crossJoin(F.broadcast(ids.join(t.documents.select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("unknown"))))
+def bm25(t: Tables, k: int = 50) -> DataFrame:
+    return best(chunk_index(t), QUERY_WORDS, k)
+
+
+@query(BEST.format(BM25, 50))
+def fts_chunk_search(t: Tables) -> DataFrame:
+    return bm25(t)
+
+
+@query(f"""
+SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({BM25})
+WHERE doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang = 'en') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) QUALIFY rank <= 30""")
+def fts_chunk_search_scoped(t: Tables) -> DataFrame:
+    """Within meetings, a speaker's language and a tenant's rows; statistics stay those of the whole index."""
+    scope = F.col("source").isin("src1", "src2", "src3") & (F.col("lang") == "en")
+    return best(chunk_index(t), QUERY_WORDS, 30, where=scope, allowed=t.labels.where("quality = 1").select("doc_id"))
+
+
+@query("SELECT count(*) AS documents, round(avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 6) AS average FROM documents")
+def fts_stats(t: Tables) -> DataFrame:
+    return fulltext.stats(chunk_index(t).documents).select("documents", F.round("average", 6).alias("average"))
+
+
+@query(BEST.format(SUMMARY, 20))
+def fts_summary_search(t: Tables) -> DataFrame:
+    return best(summary_index(t), QUERY_WORDS, 20)
+
+
+@query(BEST.format(CHAT, 20))
+def fts_chat_search(t: Tables) -> DataFrame:
+    return best(chat_index(t), ["what", "the"], 20)
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({BM25}) WHERE score >= 0.1")
+def filter_bm25_floor(t: Tables) -> DataFrame:
+    return chunk_index(t).search(QUERY_WORDS).where("score >= 0.1").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT source, max(round(score, 6)) AS score FROM ({BM25}) JOIN documents USING (doc_id) WHERE score >= 0.1 GROUP BY source ORDER BY score DESC, source LIMIT 8")
+def fts_retrieve(t: Tables) -> DataFrame:
+    index = chunk_index(t)
+    found = index.search(QUERY_WORDS).where("score >= 0.1").join(index.documents.select("doc_id", "source"), "doc_id")
+    return found.groupBy("source").agg(F.max(F.round("score", 6)).alias("score")).orderBy(F.desc("score"), "source").limit(8)
+
+
+@query("""
+WITH i AS (SELECT doc_id, text FROM documents WHERE lang IS NULL OR lang <> 'de'),
+n AS (SELECT doc_id, CASE WHEN quality = 0 THEN concat(text, ' changed') ELSE text END AS text FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NULL OR lang <> 'fr')
+SELECT count(*) FILTER (i.doc_id IS NULL) AS missing, count(*) FILTER (n.doc_id IS NULL) AS unknown, count(*) FILTER (i.text <> n.text) AS changed, count(i.doc_id) AS indexed,
+  0::BIGINT AS wrong_length, 0::BIGINT AS wrong_df FROM i FULL JOIN n USING (doc_id)""")
+def fts_integrity(t: Tables) -> DataFrame:
+    """An index of one state of the documents held against another, which has lost a language, gained one and changed texts."""
+    index = lexical_index.of_table(t.spark, f"{t.sf_dir}/documents.parquet", "not-de", "doc_id", "text", [], t.documents.where("lang IS NULL OR lang <> 'de'"))
+    now = t.documents.where("lang IS NULL OR lang <> 'fr'").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    now = now.withColumn("text", F.when(F.col("quality") == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    whole = index.integrity().select("wrong_length", "wrong_df")
+    return index.drift(now).crossJoin(F.broadcast(whole))
+
+
+@query("""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)
+SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM p GROUP BY term HAVING count(DISTINCT doc_id) > 3""")
+def source_fts_rebuild(t: Tables) -> DataFrame:
+    """An index of part of the documents has drifted too far from all of them, so it is built anew; its terms."""
+    root = f"{shared_folder(t.spark)}/rebuilt-{uuid.uuid4().hex}"
+    lexical_index.build(t.documents.where("lang = 'en'"), root, "doc_id")
+    index, anew = lexical_index.rebuilt(t.documents, root, "doc_id")
+    return index.terms.where((F.col("df") > 3) & F.lit(anew)).select("term", F.col("cf").alias("tf"), "df")
 
 
 # Fusion: the flagship joins the vector's and the words' ranks.

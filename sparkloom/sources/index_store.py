@@ -1,54 +1,25 @@
-"""Generations of an index as Parquet folders: written beside the live one, then published by one small manifest row."""
+"""An index as a whole: published as one generation, read as of its last commit; see ``generations`` for how."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MANIFEST = "generation long, path string, rows long, digest string"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only a local session without one, as in tests, gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
+from . import generations
+from .store import shared_folder
 
-        named = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    return named.rstrip("/")
+__all__ = ["current", "publish", "replaced", "shared_folder", "upserted"]
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """All published generations; an index without any has none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).json(f"{root}/manifest")
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    rows = generations.read(spark, root)
+    return None if rows is None else rows.drop("generation", "_whole")
 
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    last = manifest(spark, root).orderBy(F.desc("generation")).limit(1).collect()
-    return spark.read.parquet(last[0]["path"]) if last else None
-
-
-def publish(rows: DataFrame, root: str, key: str = "chunk_id") -> int:
-    """Write a generation, check it, and publish it. Readers see the old one until the manifest row is committed, so a
-    failure at any point leaves the index as it was."""
-    spark = rows.sparkSession
-    last = manifest(spark, root).agg(F.max("generation")).first()[0] or 0
-    path = f"{root}/data/{last + 1}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    written = spark.read.parquet(path)
-    total, different, digest = written.agg(F.count("*"), F.countDistinct(key), F.sum(F.xxhash64(key).cast("decimal(38,0)")).cast("string")).first()
-    if total != different:
-        raise ValueError(f"{key} isn't unique: {total} rows, {different} keys")
-    spark.createDataFrame([(last + 1, path, total, digest)], MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifest")
-    return last + 1
+def publish(rows: DataFrame, root: str, key: str = "chunk_id", expected: int | None = None, **checks) -> int:
+    """Replace the whole index and return the number of the commit. Readers see the old one until then, and a failure at any
+    point leaves it as it was. A publisher whose rows were made from number ``expected`` fails if another came first."""
+    return generations.write(rows.withColumn("_whole", F.lit(True)), root, ["_whole"], key, base=True, expected=expected, **checks)
 
 
 def replaced(index: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
