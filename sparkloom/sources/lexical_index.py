@@ -129,9 +129,9 @@ class LexicalIndex:
         document. All are 0 in an index that is whole."""
         hits = self.postings.select("term", F.explode("hits").alias("h")).select("term", "h.*")
         sums = hits.groupBy(F.col("key").alias(self.key)).agg(F.sum("tf").alias("sum"))
-        lengths = self.documents.select(self.key, "length").join(sums, self.key, "full_outer")
+        lengths = self.documents.select(self.key, F.coalesce("length", F.lit(0)).alias("length")).join(sums, self.key, "full_outer")
         counts = self.postings.groupBy("term").agg(F.sum("n").alias("n")).join(self.terms.select("term", "df"), "term", "full_outer")
-        wrong_length = lengths.agg(F.count_if(F.col("length").isNotNull() & (F.col("length") != F.coalesce("sum", F.lit(0)))).alias("wrong_length"), F.count_if(F.col("length").isNull()).alias("unknown"))
+        wrong_length = lengths.agg(F.count_if(F.col("length") != F.coalesce("sum", F.lit(0))).alias("wrong_length"), F.count_if(F.col("length").isNull()).alias("unknown"))
         return wrong_length.crossJoin(F.broadcast(counts.agg(F.count_if(~F.col("n").eqNullSafe(F.col("df"))).alias("wrong_df"))))
 
 
@@ -163,7 +163,7 @@ def opened(spark: SparkSession, root: str, number: int | None = None) -> Lexical
 def build(docs: DataFrame, root: str, key: str, text: Column | str = "text", metadata: Sequence[str] = (), expected: int | None = None) -> LexicalIndex:
     """Write a new generation of the index and publish it; fails if another was published since ``expected``.
 
-    ``key`` is unique and not null. Null text has no terms. Texts are read once: words are counted in the task that reads
+    ``key`` is unique and not null. Null text has no terms and no length: it counts as a document but not in the average. Texts are read once: words are counted in the task that reads
     them, and only (term, document, count) moves.
     """
     spark = docs.sparkSession
@@ -171,13 +171,13 @@ def build(docs: DataFrame, root: str, key: str, text: Column | str = "text", met
     start = last(spark, root) if expected is None else expected
     folder = f"{root}/{uuid.uuid4().hex}"
     try:
-        found = docs.select(F.col(key), *metadata, text_digest(column(text)).alias("digest"), F.coalesce(words(column(text)), F.array().cast("array<string>")).alias("terms"))
+        found = docs.select(F.col(key), *metadata, text_digest(column(text)).alias("digest"), words(column(text)).alias("terms"))
         found.withColumn("length", F.size("terms")).write.parquet(f"{folder}/words")
         own = spark.read.parquet(f"{folder}/words")
-        doubling = F.floor(F.log2(F.col("length") + 1)).cast("int")
-        per_class = {r[0]: (r[1], r[2]) for r in own.groupBy(doubling.alias("c")).agg(F.count("*"), F.sum("length")).collect()}
+        doubling = F.floor(F.log2(F.coalesce("length", F.lit(0)) + 1)).cast("int")
+        per_class = {r[0]: r[1:] for r in own.groupBy(doubling.alias("c")).agg(F.count("*"), F.count("length"), F.sum("length")).collect()}
         segment, at = F.lit(0), 0
-        for c, (n, _) in sorted(per_class.items()):
+        for c, (n, _, _) in sorted(per_class.items()):
             buckets = -(-n // BLOCK)
             segment = F.when(doubling == c, F.lit(at) + F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).otherwise(segment)
             at += buckets
@@ -191,8 +191,8 @@ def build(docs: DataFrame, root: str, key: str, text: Column | str = "text", met
         cf = F.sum(F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["tf"]))
         stored.groupBy("term").agg(F.sum("n").alias("df"), cf.alias("cf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
         files.delete(f"{folder}/words")
-        total, length = sum(n for n, _ in per_class.values()), sum(s for _, s in per_class.values())
-        entry = {"folder": folder, "key": key, "documents": total, "average": length / total if total else 0.0}
+        total, known, length = (sum(x[i] or 0 for x in per_class.values()) for i in range(3))
+        entry = {"folder": folder, "key": key, "documents": total, "average": length / known if known else 0.0}
         if not files.put_new(commit_name(root, start + 1), json.dumps(entry)):
             raise RuntimeError(f"generation {start + 1} of the index was published by another")
     except BaseException:
