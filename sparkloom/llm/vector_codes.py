@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from .common import map_arrow, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Numbers of blocks of the bounds, coarse to fine.
-BLOCKS = (1, 2, 4)
+#: Numbers of blocks of the bounds, coarse to fine; the last leaves blocks of one component where parts have 16.
+BLOCKS = (1, 4, 16)
+#: Up to so many entries left, exact distances cost less than a finer bound.
+FEW = 6
 #: Rows whose bounds are computed at a time.
 ROWS = 1024
 #: Up to this size of components int64 holds every distance and the bounds' errors stay below the margin.
@@ -39,12 +41,14 @@ def bounds_of(length: int, pieces: int) -> np.ndarray:
     return np.arange(pieces + 1) * length // pieces
 
 
-def sketch(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block lengths, block means and the norm of the residual of each row."""
+def sketch(x: np.ndarray, blocks: int) -> np.ndarray:
+    """Each row as block means, times the root of their lengths, and the norm of what they leave over: the squared distance
+    of two rows' sketches is at most that of the rows."""
     cuts = np.unique(bounds_of(x.shape[1], blocks))
     sizes = np.diff(cuts)
     means = np.add.reduceat(x, cuts[:-1], axis=1) / sizes
-    return sizes, means, np.sqrt(((x - np.repeat(means, sizes, axis=1)) ** 2).sum(axis=1))
+    rest = np.sqrt(((x - np.repeat(means, sizes, axis=1)) ** 2).sum(axis=1))
+    return np.concatenate([means * np.sqrt(sizes), rest[:, None]], axis=1)
 
 
 class Book:
@@ -53,7 +57,10 @@ class Book:
     def __init__(self, entries: np.ndarray):
         self.entries = entries
         self.wide = entries.dtype == object
-        self.sketches = [] if self.wide or not entries.shape[1] else [sketch(entries, b) for b in BLOCKS]
+        narrow = not self.wide and entries.size
+        self.shift = entries.sum(axis=0) // len(entries) if narrow else 0  # distances stay, rounding errors shrink
+        self.sketches = [sketch(entries - self.shift, b) for b in BLOCKS] if narrow else []
+        self.squares = [(z**2).sum(axis=1) for z in self.sketches]
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each row the nearest entry (the lowest of equals), its squared distance and how many exact distances that took."""
@@ -63,32 +70,28 @@ class Book:
             far = np.stack([((x.astype(object) - e) ** 2).sum(axis=1) for e in self.entries.astype(object)], axis=1)
             at = np.array([min(range(far.shape[1]), key=row.__getitem__) for row in far], np.int64)
             return at, far[np.arange(len(x)), at], np.full(len(x), far.shape[1])
-        rows = cols = low = best = None
-        for blocks, (sizes, means, rest) in zip(BLOCKS, self.sketches):
-            _, own, left = sketch(x, blocks)
-            if rows is None:
-                low = (left[:, None] - rest) ** 2
-                for k, size in enumerate(sizes):
-                    low += size * (own[:, k, None] - means[:, k]) ** 2
-                guess = low.argmin(axis=1)
-            else:
-                low = (left[rows] - rest[cols]) ** 2 + (sizes * (own[rows] - means[cols]) ** 2).sum(axis=1)
-                firsts = np.searchsorted(rows, np.arange(len(x)))
-                least = np.flatnonzero(low == np.minimum.reduceat(low, firsts)[rows])
-                guess = cols[least[np.searchsorted(rows[least], np.arange(len(x)))]]
-            exact = ((x - self.entries[guess]) ** 2).sum(axis=1)
-            best = exact if best is None else np.minimum(best, exact)
-            margin = best * (1 + 1e-6) + 1.0
-            if rows is None:
-                rows, cols = np.nonzero(low <= margin[:, None])
-            else:
-                stay = low <= margin[rows]
-                rows, cols = rows[stay], cols[stay]
+        alive = np.ones((len(x), len(self.entries)), bool)
+        best = np.full(len(x), np.iinfo(np.int64).max)
+        looked = np.zeros(len(x), np.int64)
+        open_ = np.arange(len(x))
+        for blocks, z, squares in zip(BLOCKS, self.sketches, self.squares):
+            own = sketch(x[open_] - self.shift, blocks)
+            square = (own**2).sum(axis=1)
+            low = square[:, None] + squares - 2 * (own @ z.T)
+            exact = ((x[open_] - self.entries[low.argmin(axis=1)]) ** 2).sum(axis=1)
+            best[open_] = np.minimum(best[open_], exact)
+            looked[open_] += 1
+            margin = best[open_] * (1 + 1e-6) + 1.0 + 2.0**-46 * (square + squares.max())
+            alive[open_] &= low <= margin[:, None]
+            open_ = open_[np.count_nonzero(alive[open_], axis=1) > FEW]
+            if not len(open_):
+                break
+        rows, cols = np.nonzero(alive)
         exact = ((x[rows] - self.entries[cols]) ** 2).sum(axis=1)
         firsts = np.searchsorted(rows, np.arange(len(x)))
         least = np.minimum.reduceat(exact, firsts)
         hits = np.flatnonzero(exact == least[rows])
-        return cols[hits[np.searchsorted(rows[hits], np.arange(len(x)))]], least, np.bincount(rows, minlength=len(x)) + len(self.sketches)
+        return cols[hits[np.searchsorted(rows[hits], np.arange(len(x)))]], least, looked + np.bincount(rows, minlength=len(x))
 
 
 def integers(column: pa.Array, width: int) -> np.ndarray:

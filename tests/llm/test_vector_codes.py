@@ -71,9 +71,7 @@ def test_bounds_never_exceed_the_distance_and_filter():
         exact = ((x[:, None, :] - entries) ** 2).sum(2)
         assert (at == exact.argmin(1)).all() and (far == exact.min(1)).all()
         for blocks in vector_codes.BLOCKS:
-            sizes, means, rest = vector_codes.sketch(entries, blocks)
-            _, own, left = vector_codes.sketch(x, blocks)
-            low = (sizes * (own[:, None, :] - means) ** 2).sum(2) + (left[:, None] - rest) ** 2
+            low = ((vector_codes.sketch(x, blocks)[:, None, :] - vector_codes.sketch(entries, blocks)) ** 2).sum(2)
             assert (low <= exact * (1 + 1e-6) + 1).all()
         assert looked.mean() < 256
 
