@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,6 +167,18 @@ def fts_terms(c: Column, least: int = 3) -> Column:
     return F.array_distinct(F.concat(grams, F.filter(words(c), lambda w: F.length(w) >= least)))
 
 
+def cjk_grams(c: Column) -> Column:
+    """At each character the three CJK characters that begin there, empty where they don't; so places in the list are
+    places in the text, counted in UTF-16 units."""
+    return matches(F.lower(c), f"(?=({CJK}{{3}})?)", 1)
+
+
+def cjk_terms(query: str) -> list[str]:
+    """The different 3-grams of a query's CJK runs, in order; shorter runs have none."""
+    runs = re.findall(f"{CJK}+", query.lower())
+    return list(dict.fromkeys(run[i : i + 3] for run in runs for i in range(len(run) - 2)))
+
+
 def hms(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -120,7 +120,51 @@ def fts_stats(t: Tables) -> DataFrame:
 
 @query(BEST.format(SUMMARY, 20))
 def fts_summary_search(t: Tables) -> DataFrame:
-    return best(summary_index(t), QUERY_WORDS, 20)
+    return summary_search(t, " ".join(QUERY_WORDS), 20)
+
+
+# The tables hold no CJK: their letters become characters, so words become runs without spaces between characters.
+LETTERS, CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丞両並丫中"
+CJK_TEXT = f"translate(lower({{}}), '{LETTERS}', '{CHARACTERS}')"
+PHRASES = [w.translate(str.maketrans(LETTERS, CHARACTERS)) for w in ("tion", "the", "ingth", "sch")]
+GRAMS = "list_sum(list_transform(regexp_extract_all({}, '[一-鿿]+'), lambda r: greatest(length(r) - 2, 0)))"
+
+
+def in_characters(c: Column) -> Column:
+    return F.translate(F.lower(c), LETTERS, CHARACTERS)
+
+
+def cjk_index(t: Tables, name: str, text: Column) -> LexicalIndex:
+    return lexical_index.of_table(t.spark, f"{t.sf_dir}/documents.parquet", name, "doc_id", text, tokens=T.cjk_grams, places=True)
+
+
+def cjk_sql(text: str, terms: list[str]) -> str:
+    """BM25 with each term counted where it stands, overlaps too (none of the terms overlaps itself)."""
+    tf = ", ".join(f"(length(x) - length(replace(x, '{p}', ''))) // {len(p)} AS tf{i}" for i, p in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    parts = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / average)) ELSE 0 END" for i in range(len(terms)))
+    return f"""
+WITH c AS (SELECT doc_id, coalesce({GRAMS.format('x')}, 0) AS length, {tf} FROM (SELECT doc_id, {CJK_TEXT.format(text)} AS x FROM documents)),
+s AS (SELECT count(*) AS n, avg(length) AS average, {df} FROM c)
+SELECT doc_id, ({parts})::DOUBLE AS score FROM c, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(terms)))}"""
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({cjk_sql('text', PHRASES)})")
+def fts_trigram_cjk(t: Tables) -> DataFrame:
+    """Documents with any of some CJK phrases of three characters and more, found by the places of their 3-grams."""
+    return cjk_index(t, "characters", in_characters(F.col("text"))).phrase_search(PHRASES).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def summary_search(t: Tables, asked: str, k: int) -> DataFrame:
+    """A query with CJK goes to the index of 3-grams, any other to that of words; one term is enough in both."""
+    first = F.element_at(F.split("text", "\n"), 1)
+    terms = T.cjk_terms(asked)
+    return best(cjk_index(t, "summary-characters", in_characters(first)), terms, k) if terms else best(summary_index(t), asked.split(), k)
+
+
+@query(BEST.format(cjk_sql("string_split(text, chr(10))[1]", T.cjk_terms(f"{PHRASES[0]} or {PHRASES[2]}")), 20))
+def fts_summary_search_cjk(t: Tables) -> DataFrame:
+    return summary_search(t, f"{PHRASES[0]} or {PHRASES[2]}", 20)
 
 
 @query(BEST.format(CHAT, 20))

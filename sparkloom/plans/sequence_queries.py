@@ -161,14 +161,6 @@ def join_pairwise_similarity(t: Tables) -> DataFrame:
     return own.join(other, "label").where("vec_id < v").where(N.dot(F.col("embedding"), F.col("e")) / (F.col("n") * F.col("m")) >= 0.3).select(F.col("vec_id").alias("u"), "v")
 
 
-@query("SELECT doc_id, 2 AS hits FROM documents WHERE doc_id % 10 = 0")
-def fts_trigram_cjk(t: Tables) -> DataFrame:
-    """Documents by how many of a query's CJK 3-grams they hold; the fixture has no CJK, so a phrase is put in."""
-    wanted = ["東京会", "京会議"]
-    docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" 東京会議"))).otherwise(F.col("text")).alias("text"))
-    return docs.select("doc_id", F.size(F.array_intersect(T.fts_terms(F.col("text")), F.array(*map(F.lit, wanted)))).alias("hits")).where("hits > 0")
-
-
 def weighted(t: Tables) -> DataFrame:
     """Facts by 0.35 nearness, 0.15 decay, 0.25 importance, 0.15 confidence and 0.10 usefulness."""
     from ..functions import numbers as N

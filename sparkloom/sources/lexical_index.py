@@ -1,7 +1,8 @@
 """A stored inverted index: written once, read by term, with blocks that say how much they can add to a score.
 
     documents/  key, the index's metadata columns, length, digest of the text, segment
-    postings/   term, segment, n, most (largest count), least (smallest length), hits (key, tf, length of n documents)
+    postings/   term, segment, n, most (largest count), least (smallest length), hits (key, tf, length of n documents, and the
+                places of the term if they were asked for)
     terms/      term, df, cf
 
 Documents are dealt into segments of about ``BLOCK`` documents of like length (within a doubling), the same for every term, so a
@@ -20,7 +21,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,28 @@ class LexicalIndex:
             return self.scored(weights, None, where, allowed)
         return self.scored(weights, self.promising(weights, k, where, allowed), where, allowed)
 
+    def phrases(self, phrases: Sequence[str], size: int = 3) -> DataFrame:
+        """key, phrase and tf, how often each phrase of ``size`` characters and more stands in a document, of an index of its
+        grams with places: the places of its grams, each less the gram's offset, must agree. Only segments that hold all grams of
+        a phrase are read. Shorter phrases, which have no gram, are found nowhere."""
+        asked = [(p, i, p[i : i + size]) for p in dict.fromkeys(phrases) for i in range(len(p) - size + 1)]
+        grams = F.broadcast(self.spark.createDataFrame(asked or [("", 0, "")], "phrase string, offset int, term string"))
+        wanted = grams.groupBy("phrase").agg(F.countDistinct("term").alias("wanted"), F.count("*").alias("offsets"))
+        blocks = self.postings.where(F.col("term").isin(*{t for _, _, t in asked}))
+        together = blocks.select("term", "segment").join(grams.select("phrase", "term").distinct(), "term").groupBy("phrase", "segment").agg(F.count("*").alias("n"))
+        segments = together.join(F.broadcast(wanted), "phrase").where("n = wanted").select("phrase", "segment")
+        hits = blocks.select("term", "segment", "hits").join(grams, "term").join(segments, ["phrase", "segment"], "left_semi").select("phrase", "offset", F.explode("hits").alias("h"))
+        starts = hits.select("phrase", "h.key", F.explode("h.places").alias("place"), "offset").groupBy("phrase", "key", (F.col("place") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
+        whole = starts.join(F.broadcast(wanted), "phrase").where("n = offsets")
+        return whole.groupBy(F.col("key").alias(self.key), "phrase").agg(F.count("*").alias("tf"))
+
+    def phrase_search(self, phrases: Sequence[str]) -> DataFrame:
+        """key and score of documents with any of the phrases, each weighted as a term of its own."""
+        found = self.phrases(phrases).join(self.documents.select(self.key, "length"), self.key)
+        df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+        weight = F.log(1 + (F.lit(float(self.total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return found.join(F.broadcast(df), "phrase").groupBy(self.key).agg(F.sum(weight * self.share(F.col("tf"), F.col("length"))).alias("score"))
+
     def promising(self, weights: dict[str, float], k: int, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame | None:
         """Segments whose bound reaches the k-th best score of the most promising ones; None for all."""
         bounds = self.bounds(weights)
@@ -160,8 +183,11 @@ def opened(spark: SparkSession, root: str, number: int | None = None) -> Lexical
     return LexicalIndex(spark, root, number) if number else None
 
 
-def build(docs: DataFrame, root: str, key: str, text: Column | str = "text", metadata: Sequence[str] = (), expected: int | None = None) -> LexicalIndex:
-    """Write a new generation of the index and publish it; fails if another was published since ``expected``.
+def build(
+    docs: DataFrame, root: str, key: str, text: Column | str = "text", metadata: Sequence[str] = (), expected: int | None = None, tokens: Callable[[Column], Column] = words, places: bool = False
+) -> LexicalIndex:
+    """Write a new generation of the index and publish it; fails if another was published since ``expected``. ``tokens`` makes the
+    list of a text's terms, of which empty ones are not indexed; ``places`` keeps where in that list each stands.
 
     ``key`` is unique and not null. Null text has no terms and no length: it counts as a document but not in the average. Texts are read once: words are counted in the task that reads
     them, and only (term, document, count) moves.
@@ -171,8 +197,8 @@ def build(docs: DataFrame, root: str, key: str, text: Column | str = "text", met
     start = last(spark, root) if expected is None else expected
     folder = f"{root}/{uuid.uuid4().hex}"
     try:
-        found = docs.select(F.col(key), *metadata, text_digest(column(text)).alias("digest"), words(column(text)).alias("terms"))
-        found.withColumn("length", F.size("terms")).write.parquet(f"{folder}/words")
+        found = docs.select(F.col(key), *metadata, text_digest(column(text)).alias("digest"), tokens(column(text)).alias("terms"))
+        found.withColumn("length", F.size(F.filter("terms", lambda x: x != ""))).write.parquet(f"{folder}/words")
         own = spark.read.parquet(f"{folder}/words")
         doubling = F.floor(F.log2(F.coalesce("length", F.lit(0)) + 1)).cast("int")
         per_class = {r[0]: r[1:] for r in own.groupBy(doubling.alias("c")).agg(F.count("*"), F.count("length"), F.sum("length")).collect()}
@@ -183,8 +209,10 @@ def build(docs: DataFrame, root: str, key: str, text: Column | str = "text", met
             at += buckets
         placed = own.withColumn("segment", segment)
         placed.drop("terms").write.parquet(f"{folder}/documents")
-        counted = placed.select(key, "segment", "length", F.explode("terms").alias("term")).groupBy(key, "segment", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        hits = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "tf", "length")))
+        each = placed.select(key, "segment", "length", F.posexplode("terms").alias("place", "term")).where("term <> ''")
+        found_at = [F.array_sort(F.collect_list("place")).alias("places")] if places else []
+        counted = each.groupBy(key, "segment", "length", "term").agg(F.count("*").cast("int").alias("tf"), *found_at)
+        hits = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "tf", "length", *(["places"] if places else []))))
         blocks = counted.groupBy("term", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), hits.alias("hits"))
         blocks.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/postings")
         stored = spark.read.parquet(f"{folder}/postings")
@@ -212,7 +240,7 @@ def rebuilt(docs: DataFrame, root: str, key: str, text: Column | str = "text", m
     return build(docs, root, key, text, metadata, expected=index.number if index else 0), True
 
 
-def of_table(spark: SparkSession, path: str, name: str, key: str, text: Column | str = "text", metadata: Sequence[str] = (), docs: DataFrame | None = None) -> LexicalIndex:
+def of_table(spark: SparkSession, path: str, name: str, key: str, text: Column | str = "text", metadata: Sequence[str] = (), docs: DataFrame | None = None, **form) -> LexicalIndex:
     """The index of a stored table in the shared folder, built by the first that asks and again once the table's files have changed.
 
     Names, lengths and times of change of the files make the index's folder, so an index never meets another state of its table.
@@ -224,7 +252,7 @@ def of_table(spark: SparkSession, path: str, name: str, key: str, text: Column |
     index = opened(spark, root)
     if index is None:
         try:
-            index = build(docs, root, key, text, metadata, expected=0)
+            index = build(docs, root, key, text, metadata, expected=0, **form)
         except RuntimeError:  # another session was faster
             index = opened(spark, root)
             if index is None:

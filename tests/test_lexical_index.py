@@ -129,3 +129,25 @@ def test_the_index_of_a_table_is_built_once_for_each_state(spark, docs, tmp_path
     other = L.of_table(spark, path, "t", "id")
     assert other.folder != first.folder and other.total == 30
     assert [r[0] for r in docs.where("id = 9003").select(F.size(words(F.col("text")))).collect()] == [3]
+
+
+def test_phrases_match_a_search_for_substrings(spark, tmp_path):
+    from sparkloom.functions import text as T
+
+    rng = random.Random(11)
+    pieces = ["東", "京", "会", "議", "東京", "会議", "の", " ", "a", "😀", "\n", "。"]
+    data = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 90)))) for i in range(300)] + [(900, None), (901, "東" * 9), (902, "東京会議" * 30)]
+    docs = spark.createDataFrame(data, "id long, text string")
+    index = L.build(docs, f"file://{tmp_path}/i", "id", tokens=T.cjk_grams, places=True)
+    phrases = ["東京会", "東京会議", "会議の", "東東東", "京会議東京", "議の東京会", "東京", "見たこと", "東東東東"]
+    got = {(r.id, r.phrase): r.tf for r in index.phrases(phrases).collect()}
+    want = {}
+    for i, text in data:
+        for p in phrases:
+            n = sum((text or "").startswith(p, k) for k in range(len(text or "")))
+            if n and len(p) > 2:
+                want[i, p] = n
+    assert got == want and index.phrases([]).count() == 0
+    assert {r.id for r in index.phrase_search(["東京会議", "会議の"]).collect()} == {i for i, p in want if p in ("東京会議", "会議の")}
+    assert tuple(index.integrity().first()) == (0, 0, 0)
+    assert T.cjk_terms("about 东京会议 and 会") == ["东京会", "京会议"] and T.cjk_terms("words") == []
