@@ -6,11 +6,15 @@ lineitem bridges facts to scopes; customers, suppliers, parts and nations are a
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import history, ranking
+from ..sources import version_store
+from ..sources.version_store import VersionStore
 from .registry import Tables, query
 
 AS_OF, KNOWN = "1998-01-01", "1999-01-01"
@@ -28,9 +32,46 @@ def snapshot(t: Tables, valid: str, known: str) -> DataFrame:
 
 
 SNAP = f"(SELECT * FROM {VERSIONS} WHERE valid_from <= TIMESTAMP '{{0}}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{{0}}') AND recorded_at <= TIMESTAMP '{{1}}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY revision DESC) = 1)"
-for name in ("join_bitemporal_asof", "mem_bitemporal_query", "date_bitemporal_valid"):
-    extra = {"join_bitemporal_asof": "TRUE", "mem_bitemporal_query": "status = 'F'", "date_bitemporal_valid": "priority LIKE '1%'"}[name]
-    query(f"SELECT k, id, revision, value FROM {SNAP.format(AS_OF, KNOWN)} WHERE {extra}", name)(lambda t, extra=extra: snapshot(t, AS_OF, KNOWN).where(extra).select("k", "id", F.col("revision").cast("bigint").alias("revision"), "value"))
+
+
+def fact_store(t: Tables) -> VersionStore:
+    """The orders as versions, laid out by the time in which they are valid."""
+    facts = versions(t).drop("revision", "valid_to")
+    return version_store.of_table(facts, f"{t.sf_dir}/orders.parquet", "facts", "k", ["id"])
+
+
+def asked(t: Tables, valid: str, known: str, content: str) -> DataFrame:
+    found = fact_store(t).as_of(datetime.fromisoformat(valid), datetime.fromisoformat(known), ["id", "value", "status", "priority"])
+    return found.where(content).select("k", "id", "revision", "value")
+
+
+ASKED = f"SELECT k, id, revision, value FROM {SNAP.format(AS_OF, KNOWN)} WHERE {{}}"
+
+
+@query(ASKED.format("TRUE"))
+def join_bitemporal_asof(t: Tables) -> DataFrame:
+    return asked(t, AS_OF, KNOWN, "TRUE")
+
+
+@query(ASKED.format("status = 'F'"))
+def mem_bitemporal_query(t: Tables) -> DataFrame:
+    return asked(t, AS_OF, KNOWN, "status = 'F'")
+
+
+@query(ASKED.format("priority LIKE '1%'"))
+def date_bitemporal_valid(t: Tables) -> DataFrame:
+    return asked(t, AS_OF, KNOWN, "priority LIKE '1%'")
+
+
+@query(f"""
+SELECT k, id, revision, value FROM (SELECT * FROM {VERSIONS}
+ WHERE valid_from <= TIMESTAMP '2000-06-01' AND recorded_at <= TIMESTAMP '1997-03-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2000-06-01' OR valid_to > TIMESTAMP '1997-03-01')
+ QUALIFY row_number() OVER (PARTITION BY k ORDER BY revision DESC) = 1) WHERE status <> 'P'""")
+def mem_bitemporal_known_before(t: Tables) -> DataFrame:
+    """What was thought in 1997 to hold in 2000: what ended later had not ended then."""
+    return asked(t, "2000-06-01", "1997-03-01", "status <> 'P'")
+
+
 query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1", "win_latest_version")(lambda t: ranking.latest(t.orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice"))
 query(f"SELECT k, id, revision, epoch(valid_to)::BIGINT AS recorded_to FROM {VERSIONS}", "mem_version_append")(lambda t: versions(t).select("k", "id", F.col("revision").cast("bigint").alias("revision"), F.unix_timestamp(F.col("valid_to").cast("timestamp")).alias("recorded_to")))
 query(f"SELECT id, revision, value FROM {VERSIONS} WHERE k = 7 ORDER BY revision DESC", "mem_versions")(lambda t: versions(t).where("k = 7").select("id", F.col("revision").cast("bigint").alias("revision"), "value").orderBy(F.desc("revision")))
