@@ -37,14 +37,30 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFram
     raise RuntimeError("components didn't settle")
 
 
+def overlapping(sets: DataFrame, least: float = 0.75) -> DataFrame:
+    """u and v, nodes of different token sets of which the smaller has at least that share in the larger.
+
+    ``sets`` has node and s, a list of different tokens. Tokens are ordered from rare to common. Of n tokens of which m must be
+    shared, one of the n - m + 1 rarest is, so the smaller set asks for those alone; and a shared token only counts where
+    enough tokens follow it in both. A token that all sets hold therefore brings together only sets that have nothing rarer.
+    """
+    each = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("token"))
+    ranked = each.join(each.groupBy("token").agg(F.count("*").alias("often")), "token")
+    ordered = ranked.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    posted = persisted(ordered.select("node", "n", F.posexplode("t").alias("i", "t")).select("node", "n", "i", "t.token"))
+    needed = F.ceil(F.col("n") * least - 1e-9).cast("int")
+    asks = posted.withColumn("m", needed).where("m > 0 AND i < n - m + 1").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("i").alias("iu"), "m", "token")
+    met = asks.join(posted, "token").where("node <> u AND (nu < n OR (nu = n AND u < node))")
+    pairs = met.where("1 + least(nu - iu - 1, n - i - 1) >= m").select("u", F.col("node").alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("u"), "s"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("t")), "v")
+    return both.where(overlap_coefficient(F.col("s"), F.col("t")) >= least).select("u", "v")
+
+
 def token_clusters(rows: DataFrame, key: str, tokens: str, least: float = 0.75) -> DataFrame:
-    """key and component of rows whose token sets overlap enough. Equal sets are one candidate; only sets that share a
-    token meet, each pair of them once; a row without tokens stays alone."""
+    """key and component of rows whose token sets overlap enough. Equal sets are one candidate; a row without tokens stays
+    alone."""
     sets = rows.select(key, F.array_sort(F.array_distinct(tokens)).alias("s"))
     heads = persisted(sets.where(F.size("s") > 0).groupBy("s").agg(F.min(key).alias("node")))
-    posted = heads.select("node", "s", F.explode("s").alias("token"))
-    other = posted.select(F.col("node").alias("v"), F.col("s").alias("t"), "token")
-    close = posted.join(other, "token").where("node < v").where(overlap_coefficient(F.col("s"), F.col("t")) >= least)
-    found = components(heads.select("node"), close.select(F.col("node").alias("u"), "v").distinct())
+    found = components(heads.select("node"), overlapping(heads, least))
     joined = sets.join(heads, "s", "left").join(found, "node", "left")
     return joined.select(key, F.coalesce("component", key).alias("component"))

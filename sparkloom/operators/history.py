@@ -17,6 +17,15 @@ def as_of(versions: DataFrame, key: list[str], valid: Column, known: Column, ord
     return latest(versions.where(open_ & (F.col("recorded_at") <= known)), key, order)
 
 
+def joined_null_safe(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Joined by columns of which nulls are equal; the columns of the left side stay."""
+    other = right.select(*(F.col(c).alias(f"_{c}" if c in by else c) for c in right.columns))
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(other, condition, how).drop(*(f"_{c}" for c in by))
+
+
 def closed(versions: DataFrame, key: list[str], order: list[Column], at: str = "recorded_at") -> DataFrame:
     """revision and recorded_to of append-only versions: each ends when the next is recorded."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -93,7 +93,6 @@ def manifest(t: Tables, by: str) -> DataFrame:
 query(f"SELECT source, count(vec_id) AS indexed, md5(coalesce({ID_SUM.format('vec_id')}::VARCHAR, '')) AS digest FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source", "index_manifest_inspect")(
     lambda t: manifest(t, "source").select("source", "indexed", "digest")
 )
-query("SELECT doc_id, 'ready' AS status, 1 AS generation, sha256(text) AS checksum, len(string_split(text, chr(10)))::INT AS chunks FROM documents", "idx_state")(lambda t: t.documents.select("doc_id", F.lit("ready").alias("status"), F.lit(1).alias("generation"), F.sha2("text", 256).alias("checksum"), F.size(F.split("text", "\n")).alias("chunks")))
 query(f"SELECT status, count(*) AS n, count(*) FILTER (ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS expired FROM {E} GROUP BY status", "agg_idempotency_lifecycle")(lambda t: ev(t).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("ts") < now() - F.expr("interval 7 days")).alias("expired")))
 query("SELECT coalesce(CASE WHEN event_type <> 'view' THEN event_type END, 'pending') AS status, count(*) AS n FROM events GROUP BY 1", "agg_pending_by_status")(lambda t: t.events.groupBy(F.coalesce(F.when(F.col("event_type") != "view", F.col("event_type")), F.lit("pending")).alias("status")).agg(F.count("*").alias("n")))
 query("SELECT sha256(concat_ws('|', floor(epoch(max(ts) FILTER (ts <= TIMESTAMP '2024-01-15')))::BIGINT, max(event_id), 'q1')) AS token FROM events", "agg_clock_fence")(lambda t: t.events.agg(F.sha2(F.concat_ws("|", F.max(F.when(F.col("ts") <= F.lit("2024-01-15").cast("timestamp_ntz"), seconds("ts"))).cast("string"), F.max("event_id").cast("string"), F.lit("q1")), 256).alias("token")))

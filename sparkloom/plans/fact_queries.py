@@ -212,23 +212,13 @@ query("SELECT d.doc_id, CASE WHEN l.quality = 1 AND coalesce(l.toxic, 0) = 0 THE
 query("SELECT doc_id, (n - 5 * bonus) AS score FROM (SELECT doc_id, n_chars % 100 AS n, (quality = 1)::INT AS bonus FROM documents JOIN labels USING (doc_id))", "math_material_boost")(lambda t: t.documents.select("doc_id", (F.col("n_chars") % 100).alias("n")).join(t.labels.select("doc_id", (F.col("quality") == 1).cast("int").alias("bonus")), "doc_id").select("doc_id", (F.col("n") - 5 * F.col("bonus")).alias("score")))
 
 
-@query("SELECT node, step FROM (WITH RECURSIVE r(node, step) AS (SELECT 5::BIGINT, 0 UNION ALL SELECT e.t, r.step + 1 FROM r JOIN (SELECT p_partkey AS s, p_partkey * 2 AS t FROM part) e ON e.s = r.node WHERE r.step < 20) SELECT node, min(step) AS step FROM r GROUP BY node)")
-def join_self_supersede(t: Tables) -> DataFrame:
-    return history.chain(t.part.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 2).alias("target")), [5], 20)
-
-
-query("SELECT node, step FROM (WITH RECURSIVE r(node, step) AS (SELECT 900::BIGINT, 0 UNION ALL SELECT e.t, r.step + 1 FROM r JOIN (SELECT p_partkey AS s, p_partkey // 2 AS t FROM part) e ON e.s = r.node WHERE r.step < 15) SELECT node, min(step) AS step FROM r GROUP BY node)", "join_session_ancestors")(lambda t: history.chain(t.part.select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 2).alias("target")), [900], 15))
-query("SELECT node, step FROM (WITH RECURSIVE r(node, step) AS (SELECT 3::BIGINT, 0 UNION ALL SELECT e.t, r.step + 1 FROM r JOIN (SELECT p_partkey AS s, p_partkey * 3 AS t FROM part) e ON e.s = r.node WHERE r.step < 20) SELECT node, min(step) AS step FROM r GROUP BY node)", "mem_timeline")(lambda t: history.chain(t.part.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 3).alias("target")), [3], 20))
-
 # Graph: suppliers supply parts.
 EDGES = "(SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)"
 edges = lambda t: t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
 query(f"SELECT 'out' AS direction, p AS other FROM {EDGES} WHERE s = 3 UNION ALL SELECT 'in', s FROM {EDGES} WHERE p = 3", "join_entity_relations")(lambda t: edges(t).where("s = 3").select(F.lit("out").alias("direction"), F.col("p").alias("other")).unionByName(edges(t).where("p = 3").select(F.lit("in").alias("direction"), F.col("s").alias("other"))))
 query(f"SELECT 'out' AS direction, p AS other FROM {EDGES} WHERE s IN (1, 2) UNION ALL SELECT 'in', s FROM {EDGES} WHERE p IN (1, 2)", "set_union_relations")(lambda t: edges(t).where("s IN (1, 2)").select(F.lit("out").alias("direction"), F.col("p").alias("other")).unionByName(edges(t).where("p IN (1, 2)").select(F.lit("in").alias("direction"), F.col("s").alias("other"))))
 query(f"SELECT s, p FROM {EDGES} WHERE s IN (1, 2, 3) AND p % 2 = 0 QUALIFY row_number() OVER (PARTITION BY s ORDER BY p) <= 5", "join_kg_batch_neighbors")(lambda t: ranking.top_per(edges(t).where("s IN (1, 2, 3) AND p % 2 = 0"), ["s"], [F.asc("p")], 5).select("s", "p"))
-query(f"SELECT DISTINCT (CASE WHEN s IN (2, 3) THEN 1 ELSE s END)::BIGINT AS s, p FROM {EDGES}", "kg_merge")(lambda t: merged(edges(t)))
 query(None, "kg_merge_whole")(lambda t: merged(edges(t)))
-query(f"SELECT DISTINCT (s % 10)::BIGINT AS s, p FROM {EDGES}", "set_entity_merge")(lambda t: edges(t).select((F.col("s") % 10).alias("s"), "p").distinct())
 query("SELECT l_suppkey, count(*) AS mentions, min(l_orderkey) AS first, max(l_orderkey) AS last, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS aliases FROM lineitem GROUP BY l_suppkey", "agg_entity_upsert")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("mentions"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("aliases")))
 query("SELECT l_suppkey, count(*) AS mentions FROM lineitem GROUP BY l_suppkey ORDER BY mentions DESC, l_suppkey LIMIT 20", "kg_list_entities")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "l_suppkey").limit(20))
 query("SELECT c_custkey, string_agg(a, ',' ORDER BY a) AS aliases FROM (SELECT DISTINCT c_custkey, unnest([lower(trim(c_mktsegment)), lower(c_name), 'building']) AS a FROM customer) WHERE a <> 'building' GROUP BY c_custkey", "set_alias_normalise")(

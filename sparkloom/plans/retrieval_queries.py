@@ -64,7 +64,6 @@ def knn(t: Tables, k: int = 50) -> DataFrame:
 query(f"SELECT * FROM {KNN}", "join_vector_knn")(knn)
 query(f"SELECT vec_id, round({COS}, 6) AS cosine {VEC}", "math_cosine")(lambda t: with_query(t).select("vec_id", F.round(N.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine")))
 query(f"SELECT vec_id, round(least(greatest({COS}, 0), 1), 4) AS score {VEC}", "math_summary_score")(lambda t: with_query(t).select("vec_id", F.round(N.clamped(N.cosine(F.col("embedding"), F.col("q"))), 4).alias("score")))
-query("SELECT round(sqrt(2 * (1 - 0.85)), 6)::DOUBLE AS bound", "math_l2_alias_bound")(lambda t: t.spark.range(1).select(F.round(F.sqrt(F.lit(2 * (1 - 0.85))), 6).alias("bound")))
 query(f"SELECT vec_id, round(1 / (1 + d), 6) AS score, 'relevance' AS score_kind FROM (SELECT vec_id, {DIST} AS d {VEC})", "project_score_normalize")(lambda t: with_query(t).select("vec_id", F.round(N.relevance(N.l2(F.col("embedding"), F.col("q")), True), 6).alias("score"), F.lit("relevance").alias("score_kind")))
 query(f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, {DIST} AS d {VEC}) WHERE d <= 1.3", "filter_score_threshold")(lambda t: with_query(t).withColumn("d", N.l2(F.col("embedding"), F.col("q"))).where("d <= 1.3").select("vec_id", F.round("d", 6).alias("distance")))
 query("SELECT label, i AS place, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) AS r(i) GROUP BY ALL", "agg_average_embedding")(lambda t: t.embeddings.select("label", F.posexplode("embedding").alias("p", "x")).groupBy("label", (F.col("p") + 1).cast("bigint").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")))

@@ -151,16 +151,6 @@ query("SELECT conv_id, turn, CASE WHEN list_has_any(w, ['summary', 'overview'])
 query(None, "set_union_find_text")(lambda t: graph.token_clusters(t.part.select("p_partkey", F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand")), " ").alias("w")), "p_partkey", "w"))
 
 
-@query("SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_sum([x[1]::DOUBLE * x[2]::DOUBLE for x in list_zip(a.embedding, b.embedding)]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in a.embedding])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in b.embedding]))) >= 0.3")
-def join_pairwise_similarity(t: Tables) -> DataFrame:
-    """Pairs of one label whose cosine reaches the threshold; the norm is computed once for each row."""
-    from ..functions import numbers as N
-
-    own = t.embeddings.select("label", "vec_id", "embedding", F.sqrt(N.dot(F.col("embedding"), F.col("embedding"))).alias("n"))
-    other = own.select("label", F.col("vec_id").alias("v"), F.col("embedding").alias("e"), F.col("n").alias("m"))
-    return own.join(other, "label").where("vec_id < v").where(N.dot(F.col("embedding"), F.col("e")) / (F.col("n") * F.col("m")) >= 0.3).select(F.col("vec_id").alias("u"), "v")
-
-
 def weighted(t: Tables) -> DataFrame:
     """Facts by 0.35 nearness, 0.15 decay, 0.25 importance, 0.15 confidence and 0.10 usefulness."""
     from ..functions import numbers as N
@@ -175,7 +165,6 @@ COS = "list_sum([x[1]::DOUBLE * x[2]::DOUBLE for x in list_zip(embedding, q)]) /
 WEIGHTED = f"SELECT vec_id, label::BIGINT AS label, round(w, 6) AS score, row_number() OVER (ORDER BY w DESC, vec_id) AS rank FROM (SELECT vec_id, label, round(0.35 * least(greatest({COS}, 0), 1) + 0.15 * exp(-0.01 * (vec_id % 90)) + 0.25 * (label % 5) / 4.0 + 0.15 * 0.8 + 0.10 * 0.5, 9) AS w FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0) QUALIFY rank <= 20"
 query(WEIGHTED, "mem_semantic_search")(weighted)
 query(f"SELECT label, min(rank) AS best, count(*) AS n FROM ({WEIGHTED}) GROUP BY label", "mem_session_search")(lambda t: weighted(t).groupBy("label").agg(F.min("rank").alias("best"), F.count("*").alias("n")))
-query("SELECT file FROM (SELECT doc_id % 37 AS file FROM documents GROUP BY 1) WHERE file % 5 <> 0", "sink_atomic_file_replace")(lambda t: by_file(t).select("file").where("file % 5 <> 0"))
 
 
 def office(name: str, inner: dict[str, str], body: Callable[[str, str], str], where: str) -> bytes:
@@ -218,17 +207,3 @@ def caption(data: bytes, kind: str) -> list[str]:
 query("SELECT doc_id, md5(text) AS text FROM documents", "scan_remote_parsers")(lambda t: mapped(texts(t), "doc_id long, text string", lambda i, x: [(i, files.cascade(x.encode(), "txt", [failing, files.parsed], any)[0])]).select("doc_id", F.md5("text").alias("text")))
 query("SELECT doc_id, concat('picture of ', strlen(text), ' bytes') AS text FROM documents", "scan_image_ocr")(lambda t: mapped(texts(t), "doc_id long, text string", lambda i, x: [(i, files.cascade(x.encode(), "png", [failing, caption], any)[0])]))
 query("SELECT doc_id, 'text' AS kind, len(string_split(text, chr(10)))::BIGINT AS parts FROM documents", "ext_file_processor")(lambda t: mapped(texts(t), "doc_id long, kind string, parts long", lambda i, x: [(i, "text", len(x.split("\n")))]))
-
-
-@query("SELECT doc_id AS chunk_id, source FROM documents")
-def sink_publish_generation(t: Tables) -> DataFrame:
-    """Publish a first generation and a second that replaces one source, and read what is live."""
-    import uuid
-
-    from ..sources import index_store
-
-    root = f"{index_store.shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
-    rows = t.documents.select(F.col("doc_id").alias("chunk_id"), "source")
-    index_store.publish(rows, root)
-    index_store.publish(index_store.replaced(index_store.current(t.spark, root), rows.where("source = 'src1'"), ["source"]), root)
-    return index_store.current(t.spark, root)
