@@ -6,12 +6,16 @@ a message or utterance, its role the speaker.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import history, quantiles, ranking
+from ..sources.store import shared_folder
 from ..streaming import events as S
+from ..streaming import keyed
 from .registry import Tables, query
 
 NOW = "2024-01-31 00:00:00"
@@ -180,6 +184,42 @@ query(f"SELECT event_id, 'queued' AS state FROM {E} WHERE status = 'running' AND
 query(None, "stream_circuit_breaker")(lambda t: S.breaker(t.events, "user_id"))
 query(None, "stream_rate_limit")(lambda t: S.token_bucket(t.events, "user_id", rate=1 / 3600, burst=3))
 
+# The same by keyed state with timers: a stream over the table, of which all that the last watermark has passed comes out.
+PASSED = "(SELECT *, epoch_us(ts) AS us, epoch_us(max(ts) OVER ()) // 1000 * 1000 AS passed FROM events)"
+LIVE = f"(SELECT * FROM {PASSED} WHERE us <= passed)"
+
+
+def live(t: Tables, machine: keyed.Machine) -> DataFrame:
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    return keyed.drained(t.spark, f"{t.sf_dir}/events.parquet", folder, "user_id", machine)
+
+
+@query(f"SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seq FROM {LIVE}")
+def stream_run_journal_state(t: Tables) -> DataFrame:
+    """Each run's events numbered in order of their time, as state keeps the number."""
+    return live(t, keyed.Journal())
+
+
+@query(f"""
+WITH e AS (SELECT *, lead(us) OVER w AS next, count(*) FILTER (event_type = 'purchase') OVER w AS completed FROM {LIVE} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+x AS (SELECT user_id, us + 6 * 3600000000 AS until, row_number() OVER (PARTITION BY user_id, completed ORDER BY us, event_id) AS k FROM e
+  WHERE event_type <> 'purchase' AND (next IS NULL OR next > us + 6 * 3600000000) AND us + 6 * 3600000000 <= passed)
+SELECT user_id, until // 1000000 AS expired, CASE WHEN k % 3 = 0 THEN 'dead_letter' ELSE 'queued' END AS state, ((k - 1) % 3 + 1)::INT AS attempts FROM x""")
+def stream_lease_expiry_timers(t: Tables) -> DataFrame:
+    """Leases of six hours that ran out, and what became of their jobs."""
+    out = live(t, keyed.Leases(6 * 3600))
+    return out.select("user_id", F.unix_seconds("expired").alias("expired"), "state", "attempts")
+
+
+@query(f"""
+WITH e AS (SELECT *, CASE WHEN p IS NULL OR us // 1000000 - p // 1000000 > 21600 THEN 1 ELSE 0 END AS new FROM (SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS p FROM {LIVE})),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS session FROM e)
+SELECT user_id, session::BIGINT AS session, count(*) AS n, min(us) // 1000000 AS first FROM s GROUP BY user_id, session HAVING (max(us) // 1000000 + 21601) * 1000000 - 1 <= max(passed)""")
+def stream_anchor_ttl_timers(t: Tables) -> DataFrame:
+    """Anchors that six hours without a touch have ended."""
+    return live(t, keyed.Anchors(21600))
+
+
 # Filters whose constraints come from a question.
 query("SELECT conv_id, turn FROM conversations WHERE role IN ('user') AND turn <= 2", "filter_in_extract")(lambda t: t.conversations.where(F.col("role").isin("user") & (F.col("turn") <= 2)).select("conv_id", "turn"))
 query("SELECT doc_id FROM documents WHERE CASE WHEN doc_id % 2 = 0 THEN list_has_any([lower(source), lower(lang)], ['src1', 'fr']) ELSE regexp_matches(lower(text), '(^|[^a-z0-9])(src1|fr)([^a-z0-9]|$)') END", "filter_speaker")(

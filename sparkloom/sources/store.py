@@ -33,6 +33,9 @@ class Files:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
 
+    def is_file(self, name: str) -> bool:
+        return self.fs.getFileStatus(self.path(name)).isFile()
+
     def names(self, folder: str) -> list[str]:
         """Names in a folder, in order; none if it isn't there."""
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self.path(folder))) if self.exists(folder) else []
