@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import duplicates, ranking, upserts
+from ..operators import duplicates, ranking, recall, upserts
 from .registry import Tables, query
 
 # Near duplicates. A row for each document: what it repeats, and the source that the kept text also stands for.
@@ -207,3 +207,44 @@ def mem_multi_hop(t: Tables) -> DataFrame:
     order = [F.desc_nulls_last("bridge"), F.asc("d"), F.asc("vec_id")]
     reserved = ranking.ranked(found, order, name="n").withColumn("bridge", F.when(F.col("n") <= SEEDS, F.col("bridge")))
     return ranking.top(reserved, order, LIMIT).select("vec_id", F.round(similarity("d"), 6).alias("score"), F.col("bridge").isNotNull().alias("bridged"), "rank")
+
+
+# Recall. A document is a fact: its source is its scope, unless it is Spanish or French; a toxic label means that its text was
+# edited after its vector was made, every seventh length that it has expired.
+SCOPES = ("src1", "src2", "src3", "src4", "src5")
+MEMORY = r"""(SELECT doc_id AS id, (n_chars % 7 <> 0) AS active, CASE WHEN lang IN ('en', 'de') THEN source END AS scope, (lang = 'fr' AND n_chars % 2 = 0) AS profile, (lang = 'es' AND n_chars % 4 = 0) AS legacy,
+    n_chars % 5 + 1 AS importance, exp(-0.01 * (n_chars % 90)) AS freshness, CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.8 END AS confidence, CASE toxic WHEN 1 THEN 0.0 WHEN 0 THEN 0.5 ELSE 0.3 END AS usefulness,
+    coalesce(toxic, 0) = 1 AS edited, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+def facts(t: Tables) -> DataFrame:
+    own = t.documents.join(t.labels, "doc_id", "left")
+    n = F.col("n_chars")
+    return own.select(
+        F.col("doc_id").alias("id"), (1 + F.coalesce("toxic", F.lit(0))).alias("revision"), (n % 7 != 0).alias("active"), F.when(F.col("lang").isin("en", "de"), F.col("source")).alias("scope"),
+        F.when((F.col("lang") == "fr") & (n % 2 == 0), "user_profile").alias("category"), ((F.col("lang") == "es") & (n % 4 == 0)).alias("legacy"), (n % 5 + 1).alias("importance"),
+        F.exp(-0.01 * (n % 90)).alias("freshness"), F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.5).otherwise(0.8).alias("confidence"),
+        F.when(F.col("toxic") == 1, 0.0).when(F.col("toxic") == 0, 0.5).otherwise(0.3).alias("usefulness"), "text",
+    )
+
+
+@query(f"""
+WITH m AS {MEMORY},
+a AS (SELECT * FROM m WHERE active AND importance >= 2 AND (scope IN {SCOPES} OR scope IS NULL AND (profile OR NOT legacy))),
+v AS (SELECT id, embedding, w FROM a JOIN embeddings ON vec_id = id WHERE NOT edited),
+one AS (SELECT id, w, {DISTANCE} AS d FROM v, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY d, id LIMIT 40),
+seeds AS (SELECT id, w, row_number() OVER (ORDER BY len(list_intersect(w, {list(QUESTION)})) DESC, 1 / (1 + d) DESC, id) AS n FROM one WHERE len(list_intersect(w, {list(QUESTION)})) > 0 QUALIFY n <= 2),
+e AS (SELECT list_distinct(list_concat({list(QUESTION)}, flatten(list(w)))) AS e FROM seeds HAVING count(*) > 0),
+two AS (SELECT id, w, {DISTANCE} AS d FROM v, (SELECT embedding AS q FROM v SEMI JOIN (SELECT id FROM seeds WHERE n = 1) USING (id)) ORDER BY d, id LIMIT 16),
+near AS (SELECT id, 1 / (1 + min(d)) AS similarity, any_value(len(list_intersect(w, e)) / least(len(w), len(e))) AS bridge FROM (SELECT * FROM one UNION ALL SELECT * FROM two) LEFT JOIN e ON TRUE GROUP BY id),
+pool AS (SELECT id, max(similarity) AS similarity, max(bridge) AS bridge FROM (SELECT id, similarity, CASE WHEN bridge > 0 THEN bridge END AS bridge FROM near UNION ALL SELECT * FROM (SELECT id, 0.0, NULL FROM a ORDER BY importance DESC, id LIMIT 40)) GROUP BY id),
+s AS (SELECT id, similarity, bridge, scope IS NULL AND NOT profile AS counted, round(0.35 * similarity + 0.15 * freshness + 0.25 * (importance - 1) / 4.0 + 0.15 * confidence + 0.10 * usefulness, 9) AS score FROM pool JOIN a USING (id)),
+k AS (SELECT *, row_number() OVER (ORDER BY bridge DESC NULLS LAST, score DESC, id) AS n FROM (SELECT * FROM s QUALIFY NOT counted OR row_number() OVER (PARTITION BY counted ORDER BY score DESC, id) <= 3)),
+r AS (SELECT id, score, similarity, CASE WHEN n <= 2 THEN bridge END AS bridge FROM k)
+SELECT id, round(score, 6) AS score, round(similarity, 6) AS similarity, bridge IS NOT NULL AS bridged, row_number() OVER (ORDER BY bridge IS NULL, bridge DESC, score DESC, id) AS rank FROM r QUALIFY rank <= 8""")
+def mem_semantic_search(t: Tables) -> DataFrame:
+    """Facts recalled for a question within some scopes, among facts that have expired, were edited, or have no scope."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.lit(1).alias("revision"), "embedding")
+    query_vector = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    out = recall.recall(facts(t), vectors, query_vector, QUESTION, SCOPES, recall.Policy(least=2.0))
+    return out.select("id", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.col("bridge").isNotNull().alias("bridged"), "rank")

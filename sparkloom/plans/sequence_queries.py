@@ -163,7 +163,6 @@ def weighted(t: Tables) -> DataFrame:
 
 COS = "list_sum([x[1]::DOUBLE * x[2]::DOUBLE for x in list_zip(embedding, q)]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in q])))"
 WEIGHTED = f"SELECT vec_id, label::BIGINT AS label, round(w, 6) AS score, row_number() OVER (ORDER BY w DESC, vec_id) AS rank FROM (SELECT vec_id, label, round(0.35 * least(greatest({COS}, 0), 1) + 0.15 * exp(-0.01 * (vec_id % 90)) + 0.25 * (label % 5) / 4.0 + 0.15 * 0.8 + 0.10 * 0.5, 9) AS w FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0) QUALIFY rank <= 20"
-query(WEIGHTED, "mem_semantic_search")(weighted)
 query(f"SELECT label, min(rank) AS best, count(*) AS n FROM ({WEIGHTED}) GROUP BY label", "mem_session_search")(lambda t: weighted(t).groupBy("label").agg(F.min("rank").alias("best"), F.count("*").alias("n")))
 
 
