@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import unicodedata
 from collections.abc import Callable
-from html.parser import HTMLParser
+from html import unescape
 
 CJK_RUN = re.compile(r"[一-鿿㐀-䶿぀-ヿ가-힯]+")
 LATIN = re.compile(r"[^\W_一-鿿㐀-䶿぀-ヿ가-힯]+")
@@ -32,35 +31,27 @@ def multilingual_tokens(text: str | None, least: int = 2) -> list[str]:
     return out
 
 
-class _Visible(HTMLParser):
-    """Collects what a page shows. Script and style hide what follows until they end, even where written as closed."""
-
-    HIDDEN = ("script", "style")
-
-    def reset(self):
-        super().reset()
-        self.depth, self.shown = 0, io.StringIO()
-
-    def _turn(self, tag, by):
-        self.depth = max(0, self.depth + by * (tag in self.HIDDEN))
-
-    def handle_starttag(self, tag, attrs):
-        self._turn(tag, 1)
-
-    handle_startendtag = handle_starttag
-
-    def handle_endtag(self, tag):
-        self._turn(tag, -1)
-
-    def handle_data(self, data):
-        self.shown.write("" if self.depth else data)
+# A comment, the start or end of an element, or another declaration; one that is never closed reaches to the end.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 
 
 def visible_text(html: str | None) -> str:
-    parser = _Visible()
-    parser.feed(html or "")
-    parser.close()
-    return " ".join(parser.shown.getvalue().split())
+    """What a page shows, with entities read and spaces single. Script and style hide what follows until they have ended as
+    often as they began, even where they are written as closed; within them nothing but their own end is markup."""
+    source, at, open_, shown = html or "", 0, 0, []
+    while mark := MARKUP.search(source, at):
+        if not open_:
+            shown.append(source[at : mark.start()])
+        at = mark.end()
+        name = (mark["name"] or "").lower()
+        if name in ("script", "style"):
+            open_ = max(0, open_ - 1) if mark["end"] else open_ + 1
+            if not mark["end"] and not mark["rest"].endswith("/"):
+                end = re.compile(f"</{name}", re.IGNORECASE).search(source, at)
+                at = end.start() if end else len(source)
+    if not open_:
+        shown.append(source[at:])
+    return " ".join(unescape("".join(shown)).split())
 
 
 def pretty_json(text: str) -> str:

@@ -52,8 +52,12 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
+#: What ``words`` takes for a word, in lower case.
+PLAIN_WORD = "[a-z0-9]+"
+
+
 def words(c: Column) -> Column:
-    return matches(F.lower(c), r"[a-z0-9]+")
+    return matches(F.lower(c), PLAIN_WORD)
 
 
 def tokens(c: Column) -> Column:

@@ -21,11 +21,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[
 
     No task holds a group: values are counted by narrow classes (0.4 % wide, so some thousands for a group), which tell the
     classes where the wanted positions lie; only values of those are counted one by one and ordered within their class. Repeated
-    values are one row by then. Values are finite.
+    values are one row by then. NaN is no value, like null; the infinities are values, one class each.
     """
-    v = F.col(value)
-    size = F.floor(F.log(F.abs(v)) * 256).cast("bigint")
-    narrow = df.where(v.isNotNull()).select(*by, v.cast("double").alias("_v"), F.signum(v).cast("int").alias("_sign"), F.when(v > 0, size).when(v < 0, -size).otherwise(0).alias("_class"))
+    v = F.col(value).cast("double")
+    size = F.when(F.abs(v) == float("inf"), F.lit(1 << 40)).otherwise(F.floor(F.log(F.abs(v)) * 256).cast("bigint"))
+    narrow = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), F.signum(v).cast("int").alias("_sign"), F.when(v > 0, size).when(v < 0, -size).otherwise(0).alias("_class"))
     group = Window.partitionBy(*by)
     before = F.sum("_m").over(group.orderBy("_sign", "_class").rowsBetween(Window.unboundedPreceding, -1))
     classes = narrow.groupBy(*by, "_sign", "_class").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_m").over(group))
@@ -43,6 +43,6 @@ def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[
     def pick(p: float, nearest: bool) -> Column:
         low, high, part = place(p, F.col("_n"), nearest)
         a, b = F.element_at("_at", low), F.element_at("_at", high)
-        return a + (b - a) * part
+        return F.when(a == b, a).otherwise(a + (b - a) * part)
 
     return at.select(*by, *(pick(p, near).alias(name) for name, (p, near) in wanted.items()))

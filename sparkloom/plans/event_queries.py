@@ -79,9 +79,6 @@ query(f"SELECT source, sha256(concat(count(*), ':', {ID_SUM.format('doc_id')}))
 )
 query("SELECT conv_id, arg_max(role, (n, -first)) AS speaker FROM (SELECT conv_id, role, sum(length(text)) AS n, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id", "agg_dominant_speaker")(lambda t: t.conversations.groupBy("conv_id", "role").agg(F.sum(F.length("text")).alias("n"), F.min("turn").alias("first")).groupBy("conv_id").agg(F.max_by("role", F.struct("n", -F.col("first"))).alias("speaker")))
 query("SELECT count(*) AS n FROM documents WHERE source IN ('src1', 'src2')", "agg_retrieval_pool_estimate")(lambda t: t.documents.where("source IN ('src1', 'src2')").agg(F.count("*").alias("n")))
-query("SELECT round(1 - avg((event_type = 'error')::INT), 6) AS availability, 1 - avg((event_type = 'error')::INT) >= 0.995 AS available, quantile_cont(value, 0.95) < 3 AS fast, CASE WHEN count(*) < 100 THEN NULL ELSE 1 - avg((event_type = 'error')::INT) >= 0.995 AND quantile_cont(value, 0.95) < 3 END AS passed FROM events", "agg_slo_assess")(
-    lambda t: t.events.agg(F.avg((F.col("event_type") == "error").cast("int")).alias("e"), F.percentile("value", F.lit(0.95)).alias("p"), F.count("*").alias("n")).select(F.round(1 - F.col("e"), 6).alias("availability"), (1 - F.col("e") >= 0.995).alias("available"), (F.col("p") < 3).alias("fast"), F.when(F.col("n") >= 100, (1 - F.col("e") >= 0.995) & (F.col("p") < 3)).alias("passed"))
-)
 query(f"SELECT source, count(*) AS files, count(vec_id) AS indexed, {ID_SUM.format('doc_id')} = {ID_SUM.format('vec_id')} AS same FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source", "join_index_consistency")(
     lambda t: manifest(t, "source").select("source", "files", "indexed", "same")
 )
@@ -251,7 +248,4 @@ def win_header_footer_repetition(t: Tables) -> DataFrame:
 query("SELECT source, bool_and(n_chars > 100) AND count(DISTINCT lang) = 1 AS passed FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3) GROUP BY source", "str_fast_evidence_gate")(lambda t: ranking.top_per(t.documents.select("source", "n_chars", "doc_id", "lang"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3).groupBy("source").agg((F.bool_and(F.col("n_chars") > 100) & (F.countDistinct("lang") == 1)).alias("passed")))
 query("SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 0.9 WHEN o_totalprice > 100000 THEN 0.6 END AS confidence FROM orders", "math_web_confidence")(lambda t: t.orders.select("o_orderkey", F.when(F.col("o_totalprice") > 400000, 0.9).when(F.col("o_totalprice") > 100000, 0.6).alias("confidence")))
 query("SELECT lang, string_agg(concat('| ', source, ' | ', n, ' |'), chr(10) ORDER BY source) AS md FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang", "scan_table_markdown")(lambda t: t.documents.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(F.lit("| "), x["source"], F.lit(" | "), x["n"].cast("string"), F.lit(" |"))), "\n").alias("md")))
-query("SELECT event_id, json_extract_string(props, '$.k') AS caption FROM events", "scan_image_texts")(lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").alias("caption")))
-query("SELECT doc_id, CASE WHEN source <> 'src0' THEN concat(lang, ' > ', source) END AS heading FROM documents", "scan_page_meta")(lambda t: t.documents.select("doc_id", F.when(F.col("source") != "src0", F.array_join(F.array("lang", "source"), " > ")).alias("heading")))
 query("SELECT doc_id FROM documents WHERE NOT (source = 'src3' AND doc_id % 2 = 0)", "sink_delete_scope")(lambda t: t.documents.select("doc_id").join(t.documents.where("source = 'src3' AND doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti"))
-query("SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents WHERE source IN ('src1', 'src2') GROUP BY source", "sink_meeting_export")(lambda t: t.documents.where("source IN ('src1', 'src2')").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("body")))

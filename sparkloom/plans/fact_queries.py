@@ -140,7 +140,6 @@ query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nat
 query("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id HAVING count(*) >= 4", "join_unsummarized_sessions")(lambda t: t.conversations.select("conv_id").join(t.conversations.where("role = 'system'").select("conv_id"), "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("n")).where("n >= 4"))
 query("SELECT o_orderkey, unnest(string_split(concat(o_custkey, ',', o_orderkey % 10), ','))::BIGINT AS id FROM orders", "join_recursive_split")(lambda t: t.orders.select("o_orderkey", F.explode(F.transform(F.split(F.concat("o_custkey", F.lit(","), F.col("o_orderkey") % 10), ","), lambda x: x.cast("bigint"))).alias("id")))
 query("SELECT l_partkey, max(l_extendedprice) AS score, min(l_orderkey) AS first FROM lineitem WHERE l_suppkey = 5 GROUP BY l_partkey", "join_parent_child")(lambda t: t.lineitem.where("l_suppkey = 5").groupBy("l_partkey").agg(F.max("l_extendedprice").alias("score"), F.min("l_orderkey").alias("first")))
-query("SELECT a.doc_id, b.doc_id AS sibling FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND a.doc_id <> b.doc_id QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id DESC) <= 2", "join_sibling_chunks")(lambda t: siblings(t, t.documents))
 query(None, "join_sibling_chunks_whole")(lambda t: siblings(t, t.documents))
 query("SELECT DISTINCT s_suppkey FROM supplier WHERE lower(s_name) IN (SELECT lower(s_name) FROM supplier WHERE s_nationkey = 4)", "join_speaker_mapping")(lambda t: t.supplier.withColumn("k", F.lower("s_name")).join(t.supplier.where("s_nationkey = 4").select(F.lower("s_name").alias("k")), "k", "left_semi").select("s_suppkey").distinct())
 query("SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2", "join_known_speakers")(lambda t: t.supplier.join(t.nation.where("n_regionkey = 2"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name")).distinct())
@@ -152,7 +151,6 @@ query("SELECT doc_id, source, quality FROM documents LEFT JOIN labels USING (doc
 query(None, "join_rebuild_sources_whole")(lambda t: rebuild_sources(t))
 query("SELECT n_name, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS aliases FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "join_project_materials")(lambda t: t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("aliases")))
 query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", "join_project_file_ids")(lambda t: t.customer.join(F.broadcast(t.nation.where("n_regionkey = 1")), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey"))
-query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'deleted' WHEN o_totalprice > 200000 THEN 'changed' ELSE 'same' END AS state FROM orders", "join_continuation_diff")(lambda t: continuation_diff(t, t.orders))
 query(None, "join_continuation_diff_whole")(lambda t: continuation_diff(t, t.orders))
 query("SELECT p_partkey, round(least(0.3, 0.1 * (contains(lower(p_name), 'part')::INT + contains(lower(p_name), '00')::INT) + 0.05 * contains(lower(p_type), 'brass')::INT), 6)::DOUBLE AS prior FROM part", "join_theta_title_contains")(
     lambda t: t.part.select("p_partkey", F.round(F.least(F.lit(0.3), F.aggregate(F.array(F.lit("part"), F.lit("00")), F.lit(0.0), lambda s, x: s + 0.1 * F.contains(F.lower("p_name"), x).cast("int")) + 0.05 * F.contains(F.lower("p_type"), F.lit("brass")).cast("int")), 6).alias("prior"))

@@ -230,7 +230,6 @@ def hybrid_top10(t: Tables) -> DataFrame:
     return ranking.diversified(pool_, ["source"], 2, order()).where("rank <= 10").select("doc_id", "source", F.round("score", 6).alias("score"), "rank")
 
 
-query(HYBRID, "ext_retrieval_strategy")(hybrid_top10)
 RANKS = "(SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {p} WHERE {w} QUALIFY rank <= 100)"
 R = [RANKS.format(p=POOL, w=w) for w in ("doc_id % 2 = 0", "doc_id % 3 = 0", "doc_id % 5 < 2")]
 
@@ -328,9 +327,6 @@ query(f"SELECT q, round({HITS} / least(5, len(found)), 6) AS value, round({HITS}
 query(f"SELECT q, round(1.0 / list_min([i for i in range(1, len(found) + 1) if list_contains(wanted, found[i])]), 6)::DOUBLE AS value FROM {RUNS}", "math_mrr")(metric(N.reciprocal_rank))
 NDCG = "list_sum([CASE WHEN list_contains(wanted, found[i]) THEN 1 / log2(i + 1) ELSE 0 END for i in range(1, least(5, len(found)) + 1)]) / list_sum([1 / log2(i + 1) for i in range(1, least(5, len(wanted)) + 1)])"
 query(f"SELECT q, round({NDCG}, 6) AS value FROM {RUNS}", "math_ndcg")(metric(lambda f, w: N.ndcg_at(f, w, 5)))
-query(f"SELECT round(avg({HITS} / len(wanted)), 6) AS recall, round(avg(({HITS} > 0)::INT), 6) AS hit, round(avg({NDCG}), 6) AS ndcg FROM {RUNS}", "math_retrieval_metrics")(
-    lambda t: runs(t).select(N.recall_at(F.col("found"), F.col("wanted"), 5).alias("r"), N.ndcg_at(F.col("found"), F.col("wanted"), 5).alias("n")).agg(F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg((F.col("r") > 0).cast("int")), 6).alias("hit"), F.round(F.avg("n"), 6).alias("ndcg"))
-)
 query(f"SELECT round(0.4 * r + 0.3 * r + 0.2 * h + 0.1 * n, 6) AS score FROM (SELECT avg({HITS} / len(wanted)) AS r, avg(({HITS} > 0)::INT) AS h, avg({NDCG}) AS n FROM {RUNS})", "agg_weighted_score")(
     lambda t: runs(t).select(N.recall_at(F.col("found"), F.col("wanted"), 5).alias("r"), N.ndcg_at(F.col("found"), F.col("wanted"), 5).alias("n")).agg(F.avg("r").alias("r"), F.avg((F.col("r") > 0).cast("int")).alias("h"), F.avg("n").alias("n")).select(F.round(0.4 * F.col("r") + 0.3 * F.col("r") + 0.2 * F.col("h") + 0.1 * F.col("n"), 6).alias("score"))
 )

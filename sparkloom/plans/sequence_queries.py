@@ -81,17 +81,8 @@ query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM even
 )
 
 
-@query("""SELECT event_id, concat_ws(',', CASE WHEN (value = 0 AND k <> 0) OR (value <> 0 AND (k - value) / abs(value) > 0.05) THEN 'm.latency' END, CASE WHEN k <> 0 AND (k - value) / abs(k) > 0.05 THEN 'm.recall' END) AS worse
-    FROM (SELECT event_id, value, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)""")
-def json_flatten_metrics(t: Tables) -> DataFrame:
-    """Metrics that got worse between two payloads: a latency from the value to k, a recall the other way."""
-    pairs = t.events.select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    return mapped(pairs, "event_id long, worse string", lambda i, v, k: [(i, ",".join(Q.regressions({"m": {"latency": v, "recall": k}}, {"m": {"latency": k, "recall": v}})))])
-
-
 query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", "scan_json_pretty")(lambda t: mapped(t.events.select("event_id", "props"), "event_id long, pretty string", lambda i, p: [(i, Q.pretty_json(p))]).select("event_id", F.get_json_object("pretty", "$.k").cast("bigint").alias("k")))
 query(None, "scan_html_visible_text")(lambda t: t.pages.select("page_id", files.visible(F.col("html")).alias("text")))
-query("SELECT doc_id, md5(text) AS text FROM documents", "scan_text_file")(lambda t: mapped(t.documents.select("doc_id", F.encode("text", "utf-8").alias("d")), "doc_id long, text string", lambda i, d: [(i, files.decoded(bytes(d)))]).select("doc_id", F.md5("text").alias("text")))
 query("SELECT c_custkey, concat(c_name, ' | ', c_mktsegment) AS line FROM customer", "scan_csv_as_text")(lambda t: mapped(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey long, line string", lambda k, a, b: [(k, files.csv_text(f'{a},"{b}"'))]))
 query("SELECT c_custkey, concat(c_name, chr(10), c_mktsegment) AS text FROM customer", "scan_rtf_strip")(lambda t: mapped(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey long, text string", lambda k, a, b: [(k, files.rtf_text(rf"{{\rtf1\ansi{{\fonttbl\f0 Arial;}}\f0 {a}\par {b}}}"))]))
 query("SELECT conv_id, r AS run, count(*) AS words FROM (SELECT *, sum(CASE WHEN role IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS r FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)) GROUP BY conv_id, r", "scan_asr_segments")(
@@ -123,7 +114,6 @@ query(None, "topk_chunk_budget")(lambda t: chosen(t, lambda r: r[["meeting", "do
 
 query(None, "ext_embeddings")(lambda t: texts(t).select("doc_id", F.transform(strategies.embedded(F.col("text")), lambda x: F.round(x, 6)).alias("embedding")))
 query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) = lower(trim(text)) THEN 'caption' WHEN regexp_matches(text, '[0-9]') OR length(text) > 2 * length(role) THEN 'both' ELSE 'model' END AS keep FROM conversations", "ext_vision_dedupe")(lambda t: t.conversations.select("conv_id", "turn", strategies.caption_and_ocr(F.col("role"), F.col("text")).alias("keep")))
-query("SELECT 'fast' AS name, 8 AS top_k, 3 AS fetch UNION ALL SELECT 'balanced', 8, 6 UNION ALL SELECT 'thorough', 12, 8", "ext_profiles")(lambda t: t.spark.createDataFrame([(n, p.top_k, p.fetch) for n, p in strategies.PROFILES.items()], "name string, top_k int, fetch int"))
 
 
 FILES = "(SELECT doc_id % 97 AS file, min(rank) AS rank FROM {} GROUP BY 1)"
@@ -204,5 +194,3 @@ def caption(data: bytes, kind: str) -> list[str]:
 
 
 query("SELECT doc_id, md5(text) AS text FROM documents", "scan_remote_parsers")(lambda t: mapped(texts(t), "doc_id long, text string", lambda i, x: [(i, files.cascade(x.encode(), "txt", [failing, files.parsed], any)[0])]).select("doc_id", F.md5("text").alias("text")))
-query("SELECT doc_id, concat('picture of ', strlen(text), ' bytes') AS text FROM documents", "scan_image_ocr")(lambda t: mapped(texts(t), "doc_id long, text string", lambda i, x: [(i, files.cascade(x.encode(), "png", [failing, caption], any)[0])]))
-query("SELECT doc_id, 'text' AS kind, len(string_split(text, chr(10)))::BIGINT AS parts FROM documents", "ext_file_processor")(lambda t: mapped(texts(t), "doc_id long, kind string, parts long", lambda i, x: [(i, "text", len(x.split("\n")))]))

@@ -127,3 +127,11 @@ def caption_and_ocr(caption: Column, ocr: Column) -> Column:
     """Keep both where the recognised text has digits or is twice as long; drop it where it says the same."""
     same = F.lower(F.trim(caption)) == F.lower(F.trim(ocr))
     return F.when(ocr.isNull() | same, "caption").when(ocr.rlike("[0-9]") | (F.length(ocr) > 2 * F.length(caption)), "both").otherwise("model")
+
+
+def selected(name: str, available: dict[str, Callable]) -> Callable:
+    """The retrieval strategy of a name; a name that isn't available falls back to hybrid, then to vector search."""
+    for choice in (name, "hybrid", "vector"):
+        if choice in available:
+            return available[choice]
+    raise ValueError(f"no retrieval strategy for {name}")

@@ -119,7 +119,6 @@ register("arr_decode_scope", "SELECT doc_id, array_to_string(list_sort(list_dist
 register("hash_evidence_identity", "SELECT doc_id, sha256(concat('[\"', source, '\",', doc_id, ',1,\"p1\"]')) AS identity FROM documents", lambda: dict(identity=F.sha2(F.format_string('["%s",%d,1,"p1"]', "source", "doc_id"), 256)))
 register("hash_job_jitter", "SELECT doc_id, (least(300, pow(2, doc_id % 12)) + ('0x' || substr(sha256(doc_id::VARCHAR), 1, 7))::BIGINT % 5)::BIGINT AS delay FROM documents", lambda: dict(delay=(F.least(F.lit(300), F.pow(F.lit(2), F.col("doc_id") % 12)).cast("bigint") + F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 7), 16, 10).cast("bigint") % 5)))
 SETTINGS = ("chunk=384", "overlap=64", "metric=l2", "model=default", "version=1")
-query("SELECT substr(sha256('" + "|".join(sorted(SETTINGS)) + "'), 1, 24) AS fingerprint", "hash_fingerprint")(lambda t: t.spark.range(1).select(F.substring(F.sha2(F.array_join(F.array_sort(F.array(*map(F.lit, SETTINGS))), "|"), 256), 1, 24).alias("fingerprint")))
 query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", "json_extract_metadata")(lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")))
 query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE json_extract_string(props, '$.k')::BIGINT END AS k FROM events", "json_valid_guard")(
     lambda t: t.events.withColumn("raw", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{broken"), "props")).otherwise(F.col("props"))).select("event_id", F.when(F.try_parse_json("raw").isNotNull(), F.get_json_object("raw", "$.k").cast("bigint")).alias("k"))

@@ -104,3 +104,11 @@ def test_page_chunks(spark):
         ("a", 1, 0, "text", "one two"), ("a", 1, 1, "table", "| t |"), ("a", 2, 2, "text", "one two"), ("a", 2, 3, "text", "three four"), ("a", 2, 4, "text", "five"),
         ("a", 2, 5, "image_caption", "cap"), ("a", 2, 6, "image_combined", "[Caption] cap\n[OCR] " + "x" * 15), ("a", 2, 7, "image_ocr", "y" * 15), ("c", 1, 0, "table", "| u |"),
     ]
+
+
+def test_quantiles_of_nan_and_infinities(spark):
+    data = [("a", float("nan")), ("a", 1.0), ("a", 3.0), ("b", float("inf")), ("b", float("inf")), ("b", float("-inf")), ("c", float("nan")), ("d", None), ("e", 0.0), ("e", float("inf"))]
+    wanted = {"low": (0.0, True), "half": (0.5, False), "high": (1.0, True)}
+    got = {r.g: (r.low, r.half, r.high) for r in quantiles.quantiles(spark.createDataFrame(data, "g string, x double"), ["g"], "x", wanted).collect()}
+    inf = float("inf")
+    assert got == {"a": (1.0, 2.0, 3.0), "b": (-inf, inf, inf), "e": (0.0, inf, inf)}

@@ -46,6 +46,11 @@ def test_selection():
 
 def test_text_of_files():
     assert Q.visible_text("<p>a&amp;b<script>x</script> <b>c</b><style/>d</p>") == "a&b c"
+    for html, text in {
+        None: "", "a < b": "a < b", "x<!-- <b>no</b> -->y": "xy", "x<!-- never closed": "x", "<SCRIPT>if (a<b) '</p>'</Script >z": "z", "<style>p{}</style><script>var t='<style>'</script>ok": "ok",
+        "a<script/>b<script>c</script>d</script>e": "ae", "a<br/>b&nbsp;&lt;c&gt; &#233;&eacute;": "ab <c> éé", "<!DOCTYPE html><p class='x'>one\n\n two</p></p>": "one two", "</script>after": "after", "cut <b": "cut", "<script>open": "",
+    }.items():
+        assert Q.visible_text(html) == text, html
     assert Q.parsed_json('```json\n{"a": 1}\n```') == '{"a": 1}' and Q.parsed_json('so {"a": [1]} end') == '{"a": [1]}' and Q.parsed_json("none") is None
     assert Q.pretty_json("{bad") == "{bad"
 
