@@ -58,7 +58,7 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str, bulky: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, bulky: bool = False, codec: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, columns still pruned when read.
 
     Spark frees the disk of exchanges when the driver's garbage is collected; after one about as large as the input
@@ -66,7 +66,7 @@ def written(df: DataFrame, name: str, bulky: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if bulky:
         freed(spark)
     out = spark.read.schema(df.schema).parquet(path)

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flac
-from .common import chunks, map_arrow, with_text, written
+from .common import chunks, map_arrow, release, with_text, written
 
 #: Samples are padded with bytes 0 to a positive multiple of this.
 UNIT = 64
+#: Parts in which streams are stored and turned into blocks, one after the other.
+PARTS = 4
 
 
 def padded(text: str) -> bytes:
@@ -63,6 +65,23 @@ def numbered_blocks(media: DataFrame) -> DataFrame:
     return map_arrow(numbered, work, schema)
 
 
+def stored_blocks(documents: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Written ``numbered_blocks`` of the stored FLAC streams of all documents, read back from the shared folder.
+
+    Streams are as large as their texts are compressed, and only needed until their blocks are written; so the table is taken in
+    ``parts`` by a hash of doc_id, each stored, read back, decoded and then released. Every row is in one part, whatever its
+    doc_id; repeated rows and nulls too. An empty table has no blocks.
+    """
+    out = None
+    for k in range(parts):
+        own = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k)
+        streams = written(store(own), "media", codec="uncompressed")
+        found = written(numbered_blocks(streams).withColumn("stream", F.col("stream") * parts + k), "blocks", codec="zstd")
+        release(streams)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def feature(data: bytes) -> str:
     """Root mean square, zero crossings and peak of the samples, of integers only until the last step."""
     x = np.frombuffer(data, np.uint8).astype(np.int32) - 128
@@ -118,7 +137,8 @@ def joined_blocks(blocks_: DataFrame, final: bool) -> DataFrame:
 
 
 def block_digests(blocks_: DataFrame) -> DataFrame:
-    """The rows of ``digests`` from written ``numbered_blocks``, whose payload is put together again by sample offsets.
+    """The rows of ``digests`` from written ``numbered_blocks``, whose payload is put together again by sample offsets. Repeated
+    rows of a document are streams of their own and give a row each; no blocks give none.
 
     Only streams whose blocks the reader splits or doesn't keep in order are brought together by an exchange.
     A missing or doubled block is an error.
@@ -129,7 +149,8 @@ def block_digests(blocks_: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Decode stored media, with all checksums verified, and return what identifies payload and stored form."""
+    """Decode stored media, with all checksums verified, and return what identifies payload and stored form. A null stream is an
+    error; an empty table has no rows."""
     schema = DIGESTS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fill_middle, language_id, lm_scoring, media, mixing, near_dedup, packing, permutation_index, quality_outliers, secret_scan, substring_dedup, token_output, vector_codes
-from .common import table, written
+from .common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.block_digests(written(media.numbered_blocks(media.store(table(spark, sf_dir, "documents"))), "blocks"))
+    """Digests of every document's payload, from blocks of its stored and decoded stream."""
+    return media.block_digests(media.stored_blocks(table(spark, sf_dir, "documents")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

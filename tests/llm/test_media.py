@@ -139,3 +139,10 @@ def test_query_reads_written_blocks(spark, tmp_path):
     for lost in ("not (doc_id = 6 and block = 3)", "not (doc_id = 6 and block = n_blocks - 1)"):
         with pytest.raises(Exception, match="block"):
             media.block_digests(kept.where(lost)).collect()
+
+
+def test_stored_blocks_of_all_parts_equal_digests_of_streams(spark):
+    want = sorted(map(str, media.digests(media.store(documents(spark))).collect()))
+    for parts in (1, 3):
+        assert sorted(map(str, media.block_digests(media.stored_blocks(documents(spark), parts)).collect())) == want
+    assert media.block_digests(media.stored_blocks(empty(spark))).count() == 0
