@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,19 @@ def capped(facts: DataFrame, owner: str, order: list[Column], cap: int) -> DataF
 
 
 def chain(edges: DataFrame, start: list, depth: int = 100) -> DataFrame:
-    """Keys reached from ``start`` along (source, target), with the fewest steps. Cycles end, as do chains at ``depth``."""
+    """Keys reached from ``start`` along (source, target), with the fewest steps. Cycles end, as do chains at ``depth``. For the
+    chains of all keys see ``chains``."""
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("_chain_edges")
+    names = [f"chain_{uuid.uuid4().hex}" for _ in range(2)]
     kind = edges.schema["source"].dataType.simpleString()
-    first = ", ".join(f"(cast({x} AS {kind}))" for x in start)
-    return spark.sql(f"WITH RECURSIVE r(node, step) AS (SELECT col1, 0 FROM VALUES {first} UNION ALL SELECT e.target, r.step + 1 FROM r JOIN _chain_edges e ON e.source = r.node WHERE r.step < {int(depth)}) SELECT node, min(step) AS step FROM r GROUP BY node")
+    edges.createOrReplaceTempView(names[0])
+    spark.createDataFrame([(x,) for x in start], f"node {kind}").createOrReplaceTempView(names[1])
+    found = spark.sql(
+        f"WITH RECURSIVE r(node, step) AS (SELECT node, 0 FROM {names[1]} UNION ALL SELECT e.target, r.step + 1 FROM r JOIN {names[0]} e ON e.source = r.node WHERE r.step < {int(depth)}) SELECT node, min(step) AS step FROM r GROUP BY node"
+    )
+    for name in names:
+        spark.catalog.dropTempView(name)
+    return found
 
 
 def islands(events: DataFrame, key: str, time: str, tie: str, gap_seconds: int) -> DataFrame:

@@ -41,7 +41,7 @@ def head(t: Tables, k: int = 200) -> DataFrame:
 
 
 def query_vector(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return t.embeddings.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))
 
 
 def with_query(t: Tables) -> DataFrame:
