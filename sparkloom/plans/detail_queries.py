@@ -208,11 +208,11 @@ def scan_image_ocr(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '{T.PLAIN_WORD}'))) AS own, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '{T.PLAIN_WORD}')), list_distinct(regexp_extract_all(lower(before), '{T.PLAIN_WORD}')))) AS shared
-FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) WHERE before IS NOT NULL""")
+SELECT d.doc_id, len(list_distinct(regexp_extract_all(lower(d.text), '{T.PLAIN_WORD}'))) AS own, len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '{T.PLAIN_WORD}')), list_distinct(regexp_extract_all(lower(b.text), '{T.PLAIN_WORD}')))) AS shared
+FROM documents d JOIN documents b ON b.doc_id = d.doc_id - 1""")
 def str_token_support(t: Tables) -> DataFrame:
-    """How many different words of a text the text before it in its source supports."""
-    before = F.lag("text").over(ranking.Window.partitionBy("source").orderBy("doc_id"))
-    both = t.documents.select("doc_id", "text", before.alias("before")).where("before IS NOT NULL")
+    """How many different words of a text the text of the id before supports."""
+    before = t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
     words = lambda c: F.array_distinct(T.words(F.col(c)))
+    both = t.documents.select("doc_id", "text").join(before, "doc_id")
     return both.select("doc_id", F.size(words("text")).cast("bigint").alias("own"), F.size(F.array_intersect(words("text"), words("before"))).cast("bigint").alias("shared"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +47,6 @@ of_texts("win_evidence_windows", "doc_id long, start long, end long", lambda i,
 of_texts("win_meeting_units", "doc_id long, topic long, unit string", lambda i, x: [(i, *r) for r in Q.topic_units(x)])
 of_texts("project_source_blocks", "doc_id long, page long, start long, end long, text string", lambda i, x: [(i, *r) for r in Q.blocks(x, x.split("\n"))])
 of_texts("str_multilingual_tokens", "doc_id long, n long, first string", lambda i, x: [(i, len(w := Q.multilingual_tokens(x)), w[0] if w else None)])
-of_texts("str_fact_supported", "doc_id long, supported boolean", lambda i, x: [(i, Q.supported(" ".join(x.split()[2:8]), x))])
 of_texts("kg_relation_supported", "doc_id long, supported boolean", lambda i, x: [(i, Q.relation_supported("the", "of", "and", x))])
 of_texts("str_speaker_extract", "doc_id long, names string", lambda i, x: [(i, "|".join(Q.speaker_names(x, ["The", "Of"])))])
 of_texts("date_historical_cutoffs", "doc_id long, cutoffs string", lambda i, x: [(i, "|".join(Q.historical_cutoffs(f"as of 2024-01-{i % 28 + 1:02d} {x}")))])
@@ -54,6 +54,15 @@ of_texts("str_rouge_l", "doc_id long, f1 double", lambda i, x: [(i, round(Q.roug
 of_texts("str_snapshot_compare", "doc_id long, covered boolean", lambda i, x: [(i, Q.snapshot_covered(x, " ".join(x.split()[::2])))])
 
 
+@query(None)
+def str_fact_supported(t: Tables) -> DataFrame:
+    """Does a text support its own first sentence, and that of the text of the id before, which it mostly doesn't?"""
+    first = lambda x: re.split(r"[.!?\n]", x, maxsplit=1)[0]
+    before = t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
+    both = texts(t).join(before, "doc_id", "left")
+    return mapped(both, "doc_id long, supported boolean, other boolean", lambda i, x, b: [(i, Q.supported(first(x or ""), x or ""), Q.supported(first(b or ""), x or ""))])
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 4 = 2 THEN 'ratio' ELSE 'seconds' END AS kind,
     CASE turn % 4 WHEN 0 THEN 0.0 WHEN 1 THEN -3600.0 * length(text) WHEN 2 THEN 0.75 END::DOUBLE AS low,
     CASE turn % 4 WHEN 0 THEN 60.0 * length(text) WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END::DOUBLE AS high FROM conversations""")

@@ -250,9 +250,9 @@ def of_table(spark: SparkSession, path: str, name: str, key: str, text: Column |
     state = json.dumps([files.states(path), name, key, list(metadata)])
     root = f"{shared_folder(spark)}/lexical-{name}-{uuid.uuid5(uuid.NAMESPACE_URL, state).hex}"
     index = opened(spark, root)
-    if index is None:
+    if index is None or not all(files.exists(f"{index.folder}/{part}/_SUCCESS") for part in ("documents", "postings", "terms")):  # a cleared folder
         try:
-            index = build(docs, root, key, text, metadata, expected=0, **form)
+            index = build(docs, root, key, text, metadata, expected=index.number if index else 0, **form)
         except RuntimeError:  # another session was faster
             index = opened(spark, root)
             if index is None:

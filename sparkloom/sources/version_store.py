@@ -181,4 +181,11 @@ def of_table(versions: DataFrame, path: str, name: str, key: str, order: Sequenc
     spark = versions.sparkSession
     state = json.dumps([Files(spark, path).states(path), name, key, versions.columns])
     root = f"{shared_folder(spark)}/versions-{name}-{uuid.uuid5(uuid.NAMESPACE_URL, state).hex}"
-    return opened(spark, root) or append(versions, root, key, order, expected=0)
+    store = opened(spark, root)
+    if store is None:
+        return append(versions, root, key, order, expected=0)
+    files = Files(spark, root)
+    if all(files.exists(f"{folder}/_SUCCESS") for folder in (*store.closed, store.open)):
+        return store
+    files.delete(root)  # a cleared folder: what is left of it is of no use
+    return append(versions, root, key, order, expected=0)

@@ -125,6 +125,9 @@ def test_the_index_of_a_table_is_built_once_for_each_state(spark, docs, tmp_path
     docs.where("id < 20").write.parquet(path)
     first = L.of_table(spark, path, "t", "id")
     assert L.of_table(spark, path, "t", "id").folder == first.folder
+    Files(spark, path).delete(f"{first.folder}/postings")
+    again = L.of_table(spark, path, "t", "id")
+    assert again.folder != first.folder and again.number == 2 and again.search(["w0"]).count() == first.documents.join(docs, "id").where("text LIKE '%w0 %' OR text LIKE '%w0'").count()
     docs.where("id < 30").write.mode("overwrite").parquet(path)
     other = L.of_table(spark, path, "t", "id")
     assert other.folder != first.folder and other.total == 30
