@@ -17,7 +17,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers at most; then it starts afresh. This bounds memory and changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Classes of UTF-8 bytes.
 SYMBOL, LETTER, BLANK, STOP, LEAD, ODD = range(6)
 
