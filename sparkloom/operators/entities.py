@@ -21,7 +21,7 @@ def canonical(entities: DataFrame, bound: float, within: Sequence[str], order: s
     without a vector stays itself.
     """
     nodes, members = nearby.nodes_of(entities, "id", "vector", within)
-    close = graph.persisted(nearby.close_pairs(nodes, bound * stretch, within).select("u", "v", "distance"))
+    close = graph.persisted(nearby.close_pairs(nodes, bound * stretch, within))
     named = entities.join(members.select("id", "node"), "id")
     plain = lambda c: F.lower(F.trim(c))
     told = named.select(*within, F.col("node").alias("a"), F.explode("aliases").alias("alias")).withColumn("alias", plain(F.col("alias"))).where("alias <> ''").distinct()

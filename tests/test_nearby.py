@@ -102,3 +102,23 @@ def test_entities_and_relations(spark):
     relations = spark.createDataFrame([(1, 1, "knows", 5, 0.5), (2, 3, "knows", 5, 0.9), (3, 2, "knows", 1, 0.1), (4, 5, "knows", 77, None), (5, 2, "knows", 5, 0.9)], "id long, subject long, predicate string, object long, confidence double")
     mapping = spark.createDataFrame(list(got.items()), "id long, canonical long")
     assert {tuple(r) for r in entities.repointed(relations, mapping).collect()} == {(2, "knows", 5, 0.9, 2, 3), (2, "knows", 2, 0.1, 3, 1), (5, "knows", 77, None, 4, 1)}
+
+
+def test_tiles_match_brute_force_and_compare_no_row_by_row(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = [v.tolist() for v in rng.normal(size=(700, 5))] + [[float("nan")] * 5, [float("inf")] * 5, [1.0, 2.0]]
+    rows = [(i, v, "a" if i % 4 else None) for i, v in enumerate(x)]
+    monkeypatch.setattr(nearby, "TILE", 128)
+    nodes = spark.createDataFrame(rows, "node long, x array<double>, kind string")
+    found = nearby.close_pairs(nodes, 0.7, ["kind"])
+    got = [frozenset((r.u, r.v)) for r in found.collect()]
+    want = {frozenset((a, b)) for (a, p, k), (b, q, m) in itertools.combinations(rows[:700], 2) if k == m and math.dist(p, q) <= 0.7}
+    assert set(got) == want and len(got) == len(want) > 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_unit_binds_its_norm(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, x array<float>").select("id", nearby.unit(F.col("x")).alias("u"))
+    assert {r.id: r.u for r in df.collect()} == {1: [0.6, 0.8], 2: None, 3: None}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
