@@ -47,18 +47,29 @@ def timelines(links: DataFrame, depth: int) -> DataFrame:
 
 def heads(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, head and steps: the end of each node's chain, without the steps between. On a cycle, which has no end, the head is
-    its smallest node and steps is null, as it is for what leads into a cycle."""
-    next_ = links.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source").agg(F.min("target").alias("target"))
-    nodes = next_.select(F.col("source").alias("node")).unionByName(next_.select(F.col("target").alias("node"))).distinct()
-    at = nodes.join(next_.withColumnRenamed("source", "node"), "node", "left")
-    state = persisted(at.select("node", F.coalesce("target", "node").alias("head"), F.col("target").isNotNull().cast("long").alias("steps"), F.coalesce("target", "node").alias("least")))
-    size = state.count()
+    its smallest node and steps is null, as it is for what leads into a cycle.
+
+    Before round k every node less than 2**k steps from its end is settled, and only the others go on, so rounds are the
+    logarithm of the longest chain. A round that settles none leaves only what leads into cycles: on a longer chain some node would
+    have been that far from its end.
+    """
+    next_ = persisted(links.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source").agg(F.min("target").alias("target")))
+    ends = next_.select(F.col("target").alias("node")).distinct().join(next_.select(F.col("source").alias("node")), "node", "left_anti")
+    settled = persisted(ends.select("node", F.col("node").alias("head"), F.lit(0).cast("long").alias("steps")))
+    state = next_.select(F.col("source").alias("node"), F.col("target").alias("head"), F.col("target").alias("least"))
+    left, cyclic = state.count(), False
     for k in range(rounds):
-        other = state.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"), F.col("least").alias("low"))
-        state = persisted(state.join(other, "head").select("node", F.col("next").alias("head"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "low").alias("least")))
-        if 1 << (k + 1) >= size:
+        if not left or (cyclic and 1 << k >= left):
             break
-    ends = state.join(nodes.join(next_.withColumnRenamed("source", "head"), F.col("node") == F.col("head"), "left_anti").select(F.col("node").alias("head"), F.lit(True).alias("ended")), "head", "left")
-    on_cycle = state.where("steps > 0").select(F.col("head").alias("node")).distinct()
-    least = on_cycle.join(state.select("node", "least"), "node").select(F.col("node").alias("head"), F.col("least").alias("cycle"))
-    return ends.join(least, "head", "left").select("node", F.when(F.col("ended"), F.col("head")).otherwise(F.col("cycle")).alias("head"), F.when(F.col("ended"), F.col("steps")).alias("steps"))
+        way = state
+        if not cyclic:
+            there = settled.select(F.col("node").alias("head"), F.col("head").alias("end"), "steps")
+            way = met = persisted(state.join(there, "head", "left"))
+            settled = settled.unionByName(met.where("end IS NOT NULL").select("node", F.col("end").alias("head"), (F.col("steps") + (1 << k)).alias("steps")))
+            state = met.where("end IS NULL").select("node", "head", "least")
+            before, left = left, state.count()
+            cyclic = left == before
+        other = way.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("least").alias("low"))
+        state = persisted(state.join(other, "head").select("node", F.col("next").alias("head"), F.least("least", "low").alias("least")))
+    least = state.select(F.col("head").alias("node")).distinct().join(state.select("node", "least"), "node").select(F.col("node").alias("head"), F.col("least").alias("cycle"))
+    return settled.unionByName(state.join(least, "head").select("node", F.col("cycle").alias("head"), F.lit(None).cast("long").alias("steps")))

@@ -55,3 +55,12 @@ def test_timelines_go_both_ways(spark):
 def test_of_several_targets_the_smallest_counts(spark):
     links = spark.range(5).select(F.lit(1).alias("source"), (F.col("id") + 2).alias("target"))
     assert {(r.node, r.step) for r in chains.reaches(links, 9).where("start = 1").collect()} == {(1, 0), (2, 1)}
+
+
+def test_rounds_follow_the_longest_chain_and_not_the_table(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(chains, "persisted", lambda df: made.append(1) or df.localCheckpoint())
+    links = spark.range(4000).selectExpr("id * 2 AS source", "id * 2 + 1 AS target")
+    found = chains.heads(links)
+    assert found.where("head = node + 1 AND steps = 1").count() == 4000 and found.count() == 8000
+    assert len(made) < 6
