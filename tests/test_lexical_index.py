@@ -85,6 +85,26 @@ def test_segments_are_bounded_and_shared_by_terms(index):
     assert index.postings.groupBy("term", "segment").count().where("count > 1").isEmpty()
 
 
+def test_long_documents_share_a_segment_with_fewer(spark, tmp_path, monkeypatch):
+    """A segment is inverted in one task's arrays, so its words are bounded, not only its documents."""
+    monkeypatch.setattr(L, "SEGMENT_WORDS", 2000, raising=False)
+    docs = spark.createDataFrame([(i, f"w{i % 7} " * 500, "s", "x") for i in range(80)], SCHEMA)
+    index = L.build(docs, f"file://{tmp_path}/i", "id")
+    words_ = [r.n for r in index.documents.groupBy("segment").agg(F.sum("length").alias("n")).collect()]
+    assert sum(words_) == 40_000 and max(words_) < 4 * 2000
+    assert tuple(index.integrity().first()) == (0, 0, 0)
+    assert ranked(index.search(["w3"])) == ranked(fulltext.search(docs, "id", "text", ["w3"]))
+
+
+def test_postings_equal_those_of_a_plain_count(index, docs):
+    got = index.postings.select("term", "segment", "n", "most", "least", F.explode("hits").alias("h")).select("term", "segment", "n", "most", "least", "h.*")
+    each = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+    blocks = each.join(index.documents.select("id", "segment"), "id")
+    heads = blocks.groupBy("term", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"))
+    want = blocks.join(heads, ["term", "segment"]).select("term", "segment", "n", "most", "least", F.col("id").alias("key"), "tf", "length")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_drift_and_rebuilding(spark, docs, tmp_path):
     root = f"file://{tmp_path}/i"
     index, anew = L.rebuilt(docs, root, "id")
