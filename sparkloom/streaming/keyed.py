@@ -10,6 +10,7 @@ State lives in RocksDB and the checkpoint; a stream that is started again goes o
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -110,20 +111,20 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string")
+        self.waiting = handle.getListState("waiting", "events string")  # of a batch each, as every row of a state costs a call's time
         self.own = handle.getValueState("own", self.machine.state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(at), int(i), kind) for part in rows for at, i, kind in zip(part["at"], part["event_id"], part["kind"])]
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue((json.dumps(new),))
             self.handle.registerTimer(milliseconds(min(new)[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(set(self.waiting.get())) if self.waiting.exists() else []
-        state, out = self.own.get() if self.own.exists() else None, []
+        events = sorted({tuple(e) for part in self.waiting.get() for e in json.loads(part[0])})
+        state, out = self.own.get(), []
 
         def until(time: int, strict: bool) -> None:
             nonlocal state
@@ -142,7 +143,7 @@ class InOrder(StatefulProcessor):
         until(passed, False)
         rest = [e for e in events if e[0] > passed]
         if len(rest) < len(events):
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.waiting.put([(json.dumps(rest),)]) if rest else self.waiting.clear()
         if state is not None:
             self.own.update(state)
         next_ = [x for x in (self.machine.wake(state), rest[0][0] if rest else None) if x is not None]

@@ -88,3 +88,29 @@ def test_machines_take_one_event_at_a_time():
         state, got = m.step(state, at, 1, kind)
         out += got
     assert [(r[0].timestamp(), *r[1:]) for r in out] == [(18.0, "queued", 1), (50.0, "dead_letter", 2)] and state == (109_000_000, 0)
+
+
+def test_a_batch_of_a_key_waits_as_one_row():
+    """Every row of a state costs a call to it, so work would grow with events instead of keys."""
+    calls = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return self
+
+        getValueState = getListState
+
+        def registerTimer(self, ms):
+            calls.append(("timer", ms))
+
+        def appendList(self, rows):
+            calls.extend(("row", r) for r in rows)
+
+        def appendValue(self, row):
+            calls.append(("row", row))
+
+    own = K.InOrder(K.Journal())
+    own.init(Handle())
+    part = lambda n: K.pd.DataFrame({"at": range(1000, 1000 + n), "event_id": range(n), "kind": ["click"] * n})
+    assert list(own.handleInputRows(("=1",), iter([part(50), part(20)]), None)) == []
+    assert [x[0] for x in calls] == ["row", "timer"] and calls[1][1] == 1
