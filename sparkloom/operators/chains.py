@@ -1,6 +1,6 @@
 """Chains of a key and its successor, for all keys at once, by doubling.
 
-After round r each key knows where 2**r steps lead, so the rounds are the logarithm of the depth, each two joins of tables
+After round r each key knows where 2**r steps lead, so the rounds are the logarithm of the depth, each a join or two of tables
 with one row a key. A key has at most one successor (a fact supersedes one fact, a session has one parent); going the
 other way, a key's followers are those whose chain passes it.
 """
@@ -18,22 +18,25 @@ def reaches(links: DataFrame, depth: int) -> DataFrame:
 
     ``links`` has source and target; of several targets of a source the smallest counts, null sources and targets don't. A chain
     ends where it would meet a node again, so a cycle is gone through once; a key that links to itself is alone. The rows
-    are as many as the chains are long, which is what a timeline of every key is.
+    are as many as the chains are long, which is what a timeline of every key is; they are made at the end, without an exchange:
+    rounds move one row a key, with its way so far as an array of ``depth`` + 1 nodes at most.
     """
     next_ = persisted(links.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source").agg(F.min("target").alias("target")))
-    nodes = next_.select(F.col("source").alias("node")).unionByName(next_.select(F.col("target").alias("node"))).distinct()
-    paths = persisted(nodes.select(F.col("node").alias("start"), "node", F.lit(0).alias("step")))
-    jump, reach = next_, 1
-    while reach <= depth:
-        # Every path known goes on by ``reach`` steps from its node: what was known for steps below ``reach`` is then known below twice that.
-        further = paths.join(jump.withColumnRenamed("source", "node"), "node").select("start", F.col("target").alias("node"), (F.col("step") + reach).alias("step"))
-        grown = persisted(paths.unionByName(further.where(F.col("step") <= depth)).groupBy("start", "node").agg(F.min("step").alias("step")))
-        if reach * 2 > depth or grown.count() == paths.count():
-            return grown
-        paths = grown
-        jump = persisted(jump.join(jump.select(F.col("source").alias("target"), F.col("target").alias("further")), "target").select("source", F.col("further").alias("target")))
+    ends = next_.select(F.col("target").alias("node")).distinct().join(next_.select(F.col("source").alias("node")), "node", "left_anti")
+    linked = next_.select(F.col("source").alias("start"), F.slice(F.array("source", "target"), 1, depth + 1).alias("way"))
+    ways = linked.unionByName(ends.select(F.col("node").alias("start"), F.array("node").alias("way")))
+    reach = 1
+    while reach < depth:
+        # A way of ``reach`` steps goes on with the way of its last node; a shorter one has ended. What repeats only does so from where a cycle closes.
+        ways = persisted(ways)
+        going = ways.where(F.size("way") > reach)
+        if going.isEmpty():
+            break
+        more = ways.select(F.col("start").alias("last"), F.slice("way", 2, min(reach, depth - reach)).alias("more"))
+        longer = going.withColumn("last", F.element_at("way", -1)).join(more, "last").select("start", F.array_distinct(F.concat("way", "more")).alias("way"))
+        ways = longer.unionByName(ways.where(F.size("way") <= reach))
         reach *= 2
-    return paths
+    return ways.select("start", F.posexplode("way").alias("step", "node")).select("start", "node", "step")
 
 
 def timelines(links: DataFrame, depth: int) -> DataFrame:

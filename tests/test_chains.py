@@ -64,3 +64,16 @@ def test_rounds_follow_the_longest_chain_and_not_the_table(spark, monkeypatch):
     found = chains.heads(links)
     assert found.where("head = node + 1 AND steps = 1").count() == 4000 and found.count() == 8000
     assert len(made) < 6
+
+
+def test_steps_are_listed_only_at_the_end(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(chains, "persisted", lambda df: made.append(df.localCheckpoint()) or made[-1])
+    next_ = {i: i + 1 for i in range(300)} | {i: i + 1 for i in range(400, 440)} | {440: 410, 500: 10, 501: 500}
+    links = spark.createDataFrame(list(next_.items()), "source long, target long")
+    nodes = set(next_) | set(next_.values())
+    for depth in (0, 2, 3, 64, 100):
+        made.clear()
+        got = [(r.start, r.node, r.step) for r in chains.reaches(links, depth).collect()]
+        assert sorted(got) == sorted((s, n, k) for s in nodes for n, k in walk(next_, s, depth).items())
+        assert max(df.count() for df in made) <= len(nodes)
